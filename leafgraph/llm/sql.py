@@ -63,5 +63,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), {UP}, {LOW}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct([array_to_string(w[k:k + 3], ' ') FOR k IN range(1, greatest(len(w) - 3, 1) + 1)]) AS s
+  FROM d WHERE len(w) > 0),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": op1(), "op2_exact_dedup": OP2, "op5_url_filter": op5(), "op9_decontamination": OP9}
+    return {"op1_poisson_mixing": op1(), "op2_exact_dedup": OP2, "op5_url_filter": op5(), "op9_decontamination": OP9, "op10_near_dedup": OP10}
