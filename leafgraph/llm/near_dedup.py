@@ -285,3 +285,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
         .unionByName(none)
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def unique_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
+    kept = near_duplicates(docs, words).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return found.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

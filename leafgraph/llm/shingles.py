@@ -26,9 +26,10 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words ``[^\\x20\\x09-\\x0D]+`` of a byte array."""
-    solid = ~_BLANK[raw]
+def word_hashes(raw: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of the runs of bytes that aren't ``blank``, by default ``[^\\x20\\x09-\\x0D]+``;
+    A-Z count as a-z."""
+    solid = ~blank[raw]
     edge = np.diff(np.concatenate(([False], solid, [False])).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     power = np.full(len(raw) + 1, _BASE, np.uint64)
@@ -39,27 +40,15 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     back = np.full(len(raw) + 1, _BACK, np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    return mixed_bits((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start
+    return mixed_bits((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start, end
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles; a text with fewer words is one
     shingle, null and wordless texts have none."""
     odd = mixed_bits(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-    raw, offsets = flat(texts)
-    first = 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
-        last = min(last, len(texts))
-        low, high = int(offsets[first]), int(offsets[last])
-        # a blank byte after each text keeps words of different texts apart
-        lengths = np.diff(offsets[first : last + 1])
-        bounds = np.concatenate(([0], np.cumsum(lengths + 1)))
-        padded = np.full(high - low + last - first, 0x20, np.uint8)
-        keep = np.ones(len(padded), bool)
-        keep[bounds[1:] - 1] = False
-        padded[keep] = raw[low:high]
-        hashes, start = word_hashes(padded)
+    for padded, bounds in pieces(texts):
+        hashes, start, _ = word_hashes(padded)
         at = np.searchsorted(start, bounds)
         joined = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
         for k in range(size):
@@ -72,6 +61,22 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield mixed_bits((hashes[a:b] * odd[: b - a]).sum(keepdims=True) + np.uint64(b - a))
             else:
                 yield hashes[:0]
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of whole texts, a blank after each, some PIECE bytes at a time, and where each text begins (and the end)."""
+    raw, offsets = flat(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        last = min(last, len(texts))
+        low, high = int(offsets[first]), int(offsets[last])
+        bounds = np.concatenate(([0], np.cumsum(np.diff(offsets[first : last + 1]) + 1)))
+        padded = np.full(high - low + last - first, 0x20, np.uint8)
+        keep = np.ones(len(padded), bool)
+        keep[bounds[1:] - 1] = False
+        padded[keep] = raw[low:high]
+        yield padded, bounds
         first = last
 
 
