@@ -73,7 +73,7 @@ def runs(reps: DataFrame) -> DataFrame:
 
     def counted(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return rows.join(sizes, "run")
+        return rows.join(sizes.hint("merge"), "run")
 
     first = reps.select("doc_id", F.posexplode(F.array(*[order(t, DEPTH) for t in range(TREES)])).alias("tree", "run"))
     done = written(counted(first), "runs")
@@ -176,7 +176,9 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 
 def edges_of(held: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Edges (a, b) among the documents of each region of ``held`` (hub, doc_id, bytes)."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    needed = held.select(F.col("doc_id").alias("needed")).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed.hint("merge"), F.col("id") == F.col("needed"), "left_semi")
+    texts = written(texts, "texts")  # the texts are shuffled once as a whole, then only those of regions
     sizes = held.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
     sizes = sizes.select("hub", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = written(
@@ -212,7 +214,7 @@ def edges_of(held: DataFrame, docs: DataFrame, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "hub", "doc_id"])
 
     def with_text(rows: DataFrame, *keys: str) -> DataFrame:
-        met = rows.join(texts, F.col("doc_id") == F.col("id")).drop("id")
+        met = rows.join(texts.hint("merge"), F.col("doc_id") == F.col("id")).drop("id")
         return met.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
 
     rows = with_text(placed.unionByName(leaders), "hub", "block")
