@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.llm import decontam, exact_dedup, langid, mixing, near_dedup, toxicity, url_filter
+from leafgraph.llm import decontam, exact_dedup, langid, mixing, near_dedup, pii, toxicity, url_filter
 
 #: verdict, host, path
 URL_RULES = [
@@ -33,6 +33,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.ingest(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark)).drop("is_new")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return url_filter.judged(table(spark, sf_dir, "pages"), rules)
