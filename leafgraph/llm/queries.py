@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.llm import decontam, exact_dedup, langid, mixing, near_dedup, pii, toxicity, url_filter
+from leafgraph.llm import decontam, exact_dedup, langid, license_scan, mixing, near_dedup, pii, toxicity, url_filter
 
 #: verdict, host, path
 URL_RULES = [
@@ -37,6 +37,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(list(license_scan.TEMPLATES.items()), "license string, text string")
+    return license_scan.scanned(table(spark, sf_dir, "documents"), templates)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return url_filter.judged(table(spark, sf_dir, "pages"), rules)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafgraph.llm import mixing
+from leafgraph.llm import license_scan, mixing
 from leafgraph.llm.queries import MIX, URL_RULES
 
 UP, LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -45,6 +45,23 @@ m AS (SELECT u.*, r.*, row_number() OVER (PARTITION BY page_id ORDER BY length(r
 SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE rank = 1"""
 
 
+def op4() -> str:
+    quoted = lambda x: x.replace("'", "''")
+    rows = ", ".join(f"('{quoted(k)}', '{quoted(v)}')" for k, v in license_scan.TEMPLATES.items())
+    return rf"""
+WITH t(license, text) AS (VALUES {rows}),
+words AS (SELECT license, regexp_extract_all(lower(text), '{license_scan.WORD}') AS w FROM t),
+sh AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM words)),
+c AS (SELECT license, count(*) AS total, pow(2, ceil(log2(count(*))))::INT AS size FROM sh GROUP BY license),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{license_scan.WORD}') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d)),
+h AS (SELECT doc_id, license, pos, s, size, total FROM p JOIN sh USING (s) JOIN c USING (license)),
+k AS (SELECT *, pos // size AS k FROM h UNION ALL SELECT *, pos // size - 1 AS k FROM h WHERE pos >= size),
+n AS (SELECT doc_id, license, k, size, total, count(DISTINCT s) AS shared FROM k GROUP BY ALL)
+SELECT doc_id, license, shared, total, (k * size)::BIGINT AS first_word FROM n WHERE shared * 5 >= total * 4
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY shared DESC, k * size) = 1"""
+
+
 OP9 = rf"""
 WITH word(p) AS (VALUES ('[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UP}, {LOW}), (SELECT p FROM word)) AS w FROM documents),
@@ -78,4 +95,4 @@ FROM c LEFT JOIN s USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": op1(), "op2_exact_dedup": OP2, "op5_url_filter": op5(), "op9_decontamination": OP9, "op10_near_dedup": OP10}
+    return {"op1_poisson_mixing": op1(), "op2_exact_dedup": OP2, "op4_license_scan": op4(), "op5_url_filter": op5(), "op9_decontamination": OP9, "op10_near_dedup": OP10}
