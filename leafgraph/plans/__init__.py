@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgraph.plans import objects
+from leafgraph.plans import batch, images, objects
 
-MODULES = (objects,)
+MODULES = (objects, images, batch)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
