@@ -117,8 +117,8 @@ def votes(c: Column) -> Column:
         sign(text.rlike(KNOWN_FORMS), text.rlike(word)),  # regex: forms of keys against word-like forms
         sign(before.rlike(rf"(?i)(?:{SECRET_WORDS})[\"']?[\x20]?[=:]?[\x20]?[\"']?$"), before.rlike(rf"(?i)(?:{OTHER_WORDS})[\x20:#.=]*$")),  # gazetteer
         sign(before.rlike(r"[=:][\x20]?[\"']?$"), before.rlike(r"[.,(]\x20?$")),  # context: assigned, or a sentence's start
-        sign((d * 5 >= n) & (d * 10 <= n * 9) & (n >= 12), (d == 0) | (d == n)),  # regex: a mix of digits and letters
-        sign((count("A-Z") * 2 >= n) & (d > 0) | text.rlike("^[0-9a-f]{12,}$"), count("_-") * 6 >= n),  # regex: one case or hexadecimal, against compounds
+        sign(text.rlike("(?:[0-9]+[A-Za-z]+){3}"), text.rlike("^[A-Za-z]*[-_]?[0-9]+$") | (d == 0)),  # regex: letters and digits by turns, against a number
+        sign((count("A-Z") * 2 >= n) & (d > 0) | text.rlike("^(?=[0-9]*[a-f])[0-9a-f]{12,}$"), count("_-") * 6 >= n),  # regex: one case or hexadecimal, against compounds
     )
 
 
