@@ -16,7 +16,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes hashed at once: longer batches are taken in pieces of whole texts.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafgraph.llm.shingles import flat, mixed_bits, pieces, word_hashes
+from leafgraph.llm.shingles import mixed_bits, pieces, word_hashes
 
 #: The bounded training sample: so many labelled documents of either kind, with texts of at most so many characters.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2500, 5000, 20_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 12_000
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 32, 24
 INPUTS, HIDDEN = 6, 8
@@ -44,8 +44,23 @@ class Words:
         self.hashes, first, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
         self.kind = self.kind.reshape(-1)
         start, end = start[first], end[first]
-        place = start[:, None] + np.arange(LETTERS)
-        self.letters = np.where(place < end[:, None], _LOWER[raw[np.minimum(place, len(raw) - 1)]], 0)
+        place = start[:, None].astype(np.int32) + np.arange(LETTERS, dtype=np.int32)
+        self.letters = np.where(place < end[:, None], _LOWER[raw[np.minimum(place, len(raw) - 1)]], np.uint8(0))
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        """The words of all texts; what hashing a piece takes is free again before the next."""
+        if not len(texts):
+            return cls(np.full(1, 0x20, np.uint8), np.zeros(1, np.int64))
+        parts = [cls(raw, bounds) for raw, bounds in pieces(pc.utf8_lower(texts))]
+        self = cls.__new__(cls)
+        self.hashes, first, types = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+        self.letters = np.concatenate([p.letters for p in parts])[first]
+        ends = np.cumsum([len(p.hashes) for p in parts])
+        self.kind = np.concatenate([types[e - len(p.hashes) : e][p.kind] for p, e in zip(parts, ends, strict=True)])
+        before = np.cumsum([0, *(len(p.kind) for p in parts)])
+        self.bounds = np.concatenate([[0], *(p.bounds[1:] + b for p, b in zip(parts, before[:-1], strict=True))])
+        return self
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(bucket of each type, whether the type is long enough, begins)."""
@@ -236,13 +251,7 @@ def trained(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, seed: int =
     """A model of labelled texts. A document's loss is that of its highest window. Strengths come from one half of the
     documents for the training of the other half, so that the network learns how far to trust them."""
     rng = np.random.default_rng(seed)
-    raw, offsets = flat(pc.utf8_lower(texts))
-    bounds = np.concatenate(([0], np.cumsum(np.diff(offsets) + 1)))
-    padded = np.full(len(raw) + len(texts), 0x20, np.uint8)
-    keep = np.ones(len(padded), bool)
-    keep[bounds[1:] - 1] = False
-    padded[keep] = raw[offsets[0] : offsets[-1]]
-    words = Words(padded, bounds)
+    words = Words.of(texts)
     n = len(texts)
     half = np.zeros(n, bool)
     for label in (0, 1):  # as many of each kind in both halves
