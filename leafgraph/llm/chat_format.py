@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from leafgraph.llm.shipping import Shipped
 from leafgraph.session import shared_dir
 
 #: States: nothing yet, or the role of the last turn.
@@ -204,10 +205,10 @@ def formatted(turns: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = f"partition int, last int, ends boolean, conv_id {kind}, n long, costs array<long>, turns array<long>"
-    plans = spark.sparkContext.broadcast(chained([r.asDict() for r in rows.mapInArrow(edges, schema).collect()]))
+    plans = Shipped(spark.sparkContext, chained([r.asDict() for r in rows.mapInArrow(edges, schema).collect()]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, plan = TaskContext.get().partitionId(), plans.value
+        partition, plan = TaskContext.get().partitionId(), plans.open()
         kinds = [id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         names = ["conv_id", "place", "after", "turn", "out_turn", "role", "action", "rendered"]
         held: list[tuple] = []

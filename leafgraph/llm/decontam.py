@@ -12,9 +12,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from leafgraph.llm.shipping import Shipped
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 #: Words of a window; an item of fewer words is one window.
@@ -142,25 +143,24 @@ def blocks(items: Iterator[tuple[object, str | None]], window: int, size: int) -
         yield Automaton(held, window)
 
 
-def shipped(items: DataFrame, window: int, size: int) -> list[Broadcast]:
-    send = items.sparkSession.sparkContext.broadcast
+def shipped(items: DataFrame, window: int, size: int) -> list[Shipped]:
+    context = items.sparkSession.sparkContext
     rows = ((r[0], r[1]) for r in items.select("item_id", "text").toLocalIterator())
-    return [send(a) for a in blocks(rows, window, size)]
+    return [Shipped(context, a) for a in blocks(rows, window, size)]
 
 
-def each(shared: list[Broadcast], texts: list[str | None]) -> Iterator[tuple[list[str], list[tuple[int, int, tuple]]]]:
-    """Words and matches of each text."""
-    if len(shared) == 1:
-        automaton = shared[0].value
+def each(shared: list[Shipped], one: Automaton | None, texts: list[str | None]) -> Iterator[tuple[list[str], list[tuple[int, int, tuple]]]]:
+    """Words and matches of each text; ``one``: the only automaton, if there is only one."""
+    if one:
         for text in texts:
             seq = words(text)
-            yield seq, automaton.matches(seq)
+            yield seq, one.matches(seq)
         return
     found: list[list] = [[] for _ in texts]
-    for b in shared:
+    for block in shared:  # one automaton in memory at a time
+        automaton = block.open()
         for text, out in zip(texts, found, strict=True):
-            out += b.value.matches(words(text))
-        b.__dict__.pop("_value", None)  # one automaton in memory at a time; the worker reads it again from its file
+            out += automaton.matches(words(text))
     for text, out in zip(texts, found, strict=True):
         yield words(text), out
 
@@ -184,9 +184,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = shared[0].open() if len(shared) == 1 else None
         for batch in batches:
             rows = []
-            for seq, found in each(shared, batch.column(1).to_pylist()):
+            for seq, found in each(shared, one, batch.column(1).to_pylist()):
                 if not found:
                     rows.append((len(seq), 0, 0, empty, False, 0))
                     continue
@@ -229,10 +230,11 @@ def cleaned(
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = shared[0].open() if len(shared) == 1 else None
         for batch in batches:
             texts = batch.column(at).to_pylist()
             keep, changed = [True] * len(texts), {}
-            for i, (seq, found) in enumerate(each(shared, texts)):
+            for i, (seq, found) in enumerate(each(shared, one, texts)):
                 if found:
                     hit = marked(len(seq), found)
                     keep[i] = sum(hit) <= max_coverage * len(seq)

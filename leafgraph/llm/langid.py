@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph.llm.shingles import pieces
+from leafgraph.llm.shipping import Shipped
 
 #: n-grams of so many bytes (blanks between words count as one), hashed to SLOTS.
 GRAMS, SLOTS = (1, 2, 3), 1 << 13
@@ -161,10 +162,10 @@ def identified(docs: DataFrame) -> DataFrame:
     """
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs))
+    shared = Shipped(docs.sparkSession.sparkContext, fitted(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.open()
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             best, cosine, far = model.predicted(batch.column(2))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafgraph.llm.shingles import mixed_bits, pieces, word_hashes
+from leafgraph.llm.shipping import Shipped
 
 #: The bounded training sample: so many labelled documents of either kind, with texts of at most so many characters.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 12_000
@@ -25,7 +26,8 @@ WINDOW, STRIDE = 32, 24
 INPUTS, HIDDEN = 6, 8
 #: Beginnings of so many bytes, and n-grams of so many anywhere in a word's first LETTERS bytes.
 BEGINS, GRAMS, LETTERS, GRAM_BUCKETS = (3, 4, 5, 6), (4, 5), 24, 1 << 18
-EPOCHS, BATCH, RATE = 10, 128, 0.02
+#: STEPS is the least number of steps: a small sample is seen more often.
+EPOCHS, STEPS, BATCH, RATE = 10, 60, 128, 0.02
 #: Smoothing of the strengths, as so many words seen.
 PRIOR = 4.0
 
@@ -270,7 +272,8 @@ def trained(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, seed: int =
     start, size, first = windows(words.bounds)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // (2 * -(-n // BATCH)))) if n else 0
+    for epoch in range(epochs):
         order = rng.permutation(n)
         for low in range(0, n, BATCH):
             for h in (False, True):
@@ -293,7 +296,7 @@ def trained(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, seed: int =
                 d = (1 / (1 + np.exp(-score)) - toxic[docs]) * weight[docs] / BATCH
                 g = network.backward(back, d.astype(np.float32))
                 step += 1
-                rate = RATE * (1 - epoch / EPOCHS)
+                rate = RATE * (1 - epoch / epochs)
                 for k, v in network.p.items():
                     m, s = moments[k]
                     grad = g[k] + 1e-4 * v
@@ -338,11 +341,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     predicted are replaced.
     """
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    shared = Shipped(docs.sparkSession.sparkContext, fitted(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.open()
         for batch in batches:
             score = model.scores(batch.column(at))
             columns = [*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
