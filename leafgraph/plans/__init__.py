@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgraph.plans import batch, images, objects
+from leafgraph.plans import batch, encodings, images, objects
 
-MODULES = (objects, images, batch)
+MODULES = (objects, images, batch, encodings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
