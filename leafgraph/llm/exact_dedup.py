@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.session import shared_dir, written
+from leafgraph.session import own_dir, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A digest is hot if its group has more than one in HOT of the batch's rows: so there are fewer than HOT such digests.
@@ -27,7 +27,7 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """The digests seen so far: a table at ``path``, bucketed and sorted by digest.
 
-    Opening an existing path continues that index; ``buckets`` must then be as it was. A lost batch leaves no
+    Without a path it is the application's own and goes with it. Opening an existing path continues that index; ``buckets`` must then be as it was. A lost batch leaves no
     partial rows: Spark's committer publishes an append as a whole.
     """
 
@@ -36,7 +36,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.path = path or f"{shared_dir(spark)}/leafgraph/{spark.sparkContext.applicationId}/digests-{uuid.uuid4().hex}"
+        self.path = path or f"{own_dir(spark)}/digests-{uuid.uuid4().hex}"
         self.table = f"digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} ({self.SCHEMA}) USING parquet CLUSTERED BY (text_sha256) "
