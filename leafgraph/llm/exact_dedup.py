@@ -27,8 +27,9 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """The digests seen so far: a table at ``path``, bucketed and sorted by digest.
 
-    Without a path it is the application's own and goes with it. Opening an existing path continues that index; ``buckets`` must then be as it was. A lost batch leaves no
-    partial rows: Spark's committer publishes an append as a whole.
+    Without a path it is the application's own and goes with it. Opening an existing path continues that index;
+    ``buckets`` must then be as it was. A lost batch leaves no partial rows: Spark's committer publishes an append as a
+    whole.
     """
 
     SCHEMA = "text_sha256 STRING, keep_id BIGINT, keep_points INT"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.llm.skew import met
 from leafgraph.session import written
 
 
@@ -13,17 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two rounds until nothing changes, in a number of rounds about the logarithm of the longest path:
     every node hangs its larger neighbours on its smallest one (large star), then its smaller ones (small star).
-    Neighbours are never gathered: minima are combined before each shuffle. Each round is a written table.
+    Neighbours are never gathered: minima are combined before each shuffle, and nodes with very many neighbours are met where the edges are. Each round is a written table.
     """
     now = written(_ordered(edges.select("a", "b")), "edges")
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _ordered(large)
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(small.select(F.col("a").alias("k"), "m"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        large = met(both.where("b > a"), least, "a", F.col("n"), 2 * mark[0])
+        large = written(_ordered(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))), "edges")
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        hung = met(large, small, "a", F.col("n"), large.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(_ordered(hung.unionByName(small.select("a", F.col("m").alias("b")))), "edges")
         before, mark = mark, _mark(now)
         if mark == before:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.llm.graph import components
 from leafgraph.llm.shingles import MinHash, shingle_sets
+from leafgraph.llm.skew import met
 from leafgraph.session import written
 
 WORDS = 4
@@ -35,8 +36,6 @@ TREES, DEPTH, DEEPEST = 32, 5, 10
 RUN = 2048
 #: A region is dealt out in blocks of about so many documents and bytes.
 BLOCK, BLOCK_BYTES = 512, 8_000_000
-#: A set with a third of the rows is one of fewer than HOT such sets.
-HOT = 512
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -71,9 +70,11 @@ def runs(reps: DataFrame) -> DataFrame:
     def order(tree: int, depth: int):
         return F.xxhash64(F.lit(tree), F.lit(depth), F.substring(whole, 4 * DEPTH * tree + 1, 4 * depth))
 
+    total = reps.count() * TREES
+
     def counted(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return rows.join(sizes.hint("merge"), "run")
+        return met(rows, sizes, "run", F.col("size"), total)
 
     first = reps.select("doc_id", F.posexplode(F.array(*[order(t, DEPTH) for t in range(TREES)])).alias("tree", "run"))
     done = written(counted(first), "runs")
@@ -100,9 +101,9 @@ def regions(found: DataFrame) -> DataFrame:
     """(hub, doc_id), each once: the leaders of each document's runs; a leader is in its own region."""
     score = found.groupBy("doc_id").agg(F.sum("size").alias("score"))
     scored = found.join(score, "doc_id")
-    lead = scored.groupBy("run").agg(F.max(F.struct("score", F.bitwise_not("doc_id").alias("behind"))).alias("lead"))
-    lead = lead.select("run", F.bitwise_not("lead.behind").alias("hub"))
-    return found.join(lead, "run").select("hub", "doc_id").distinct()
+    lead = scored.groupBy("run").agg(F.max(F.struct("score", F.bitwise_not("doc_id").alias("behind"))).alias("lead"), F.count(F.lit(1)).alias("n"))
+    lead = lead.select("run", F.bitwise_not("lead.behind").alias("hub"), "n")
+    return met(found, lead, "run", F.col("n"), found.count()).select("hub", "doc_id").distinct()
 
 
 class Region:
@@ -180,14 +181,15 @@ def edges_of(held: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed.hint("merge"), F.col("id") == F.col("needed"), "left_semi")
     texts = written(texts, "texts")  # the texts are shuffled once as a whole, then only those of regions
     sizes = held.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
-    sizes = sizes.select("hub", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = sizes.select("hub", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"), "n")
+    total = held.count()
     placed = written(
-        held.where("hub <> doc_id")
-        .join(sizes, "hub")
-        .select("hub", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "doc_id", "blocks"),
+        met(held.where("hub <> doc_id"), sizes, "hub", F.col("n"), total).select(
+            "hub", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "doc_id", "blocks", "n"
+        ),
         "blocks",
     )
-    leaders = placed.select("hub", "block", "blocks").distinct().select("hub", "block", F.col("hub").alias("doc_id"), "blocks")
+    leaders = placed.select("hub", "block", "blocks", "n").distinct().select("hub", "block", F.col("hub").alias("doc_id"), "blocks", "n")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, hubs, rest = [], [], [], []
@@ -235,11 +237,11 @@ def edges_of(held: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 yield packed([e[0] for e in edges], [e[1] for e in edges], [], [])
 
     per = lone.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    blocks = placed.select("hub", "blocks").distinct().join(per, "hub")
-    asking = lone.join(blocks, "hub").select(
+    blocks = placed.select("hub", "blocks", "n").distinct().join(per, "hub")
+    asking = met(lone, blocks, "hub", F.col("n"), total).select(
         "hub", F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", F.lit(True).alias("asks")
     )
-    asked = placed.join(per, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "doc_id", F.lit(False).alias("asks"))
+    asked = met(placed.drop("blocks", "n"), blocks, "hub", F.col("n"), total).select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "doc_id", F.lit(False).alias("asks"))
     rows = with_text(asking.unionByName(asked), "hub", "chunk", "block")
     more = rows.select("hub", "chunk", "block", "doc_id", "asks", "text").mapInArrow(across, "a long, b long, hub long, doc_id long")
     return edges.unionByName(more.select("a", "b"))
@@ -274,18 +276,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
         sets.join(found, F.col("doc_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "doc_id").alias("component_id"), "copies"),
         "components",
     )
-    total = rows.count()
-    hot = F.broadcast(final.where(F.col("copies") * HOT > total))
-    cold = final.where(F.col("copies") * HOT <= total)
     base = rows.select("doc_id", "n_shingles", "set_id")
     some = base.where("set_id is not null and doc_id is not null")
     none = base.where("set_id is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = (
-        some.join(hot, "set_id")
-        .unionByName(some.join(F.broadcast(final.where(F.col("copies") * HOT > total).select("set_id")), "set_id", "left_anti").join(cold, "set_id"))
-        .select("doc_id", "n_shingles", "component_id")
-        .unionByName(none)
-    )
+    out = met(some, final, "set_id", F.col("copies"), rows.count()).select("doc_id", "n_shingles", "component_id").unionByName(none)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
