@@ -3,8 +3,7 @@
 1. One pass over the texts makes each document's shingle set, its digest and a MinHash signature. Documents with equal
    sets are one from here on: the one with the smallest doc_id stands for all.
 2. The signature is read in TREES orders, each beginning with DEPTH minima of its own. In each sorted order, runs of
-   documents whose longest common prefix has DEPTH minima or more are neighbours; a run of more than RUN documents is
-   a dense region and is cut deeper, minimum by minimum, down to DEEPEST.
+   documents whose longest common prefix has DEPTH minima or more are neighbours, however many they are.
 3. In each run the document with the most neighbours over all orders leads. The runs of one leader form a region;
    every document of a region is held against the leader on full shingle sets, those that don't link with it (or with
    one that does) against all of the region, in blocks, also on full sets. So all links within a run are found, and
@@ -32,7 +31,8 @@ from leafgraph.session import written
 WORDS = 4
 #: Sets are linked with 100 * intersection >= PERCENT * union.
 PERCENT = 80
-TREES, DEPTH, DEEPEST = 32, 5, 10
+TREES, DEPTH = 32, 5
+#: A run of more documents is dense. It is held whole like any other; no result depends on this number.
 RUN = 2048
 #: A region is dealt out in blocks of about so many documents and bytes.
 BLOCK, BLOCK_BYTES = 512, 8_000_000
@@ -65,36 +65,13 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 def runs(reps: DataFrame) -> DataFrame:
     """(run, doc_id, size) of the runs with two documents or more of the forest over ``reps`` (doc_id, signature)."""
-    whole = F.concat("signature", F.substring("signature", 1, 4 * DEEPEST))
-
-    def order(tree: int, depth: int):
-        return F.xxhash64(F.lit(tree), F.lit(depth), F.substring(whole, 4 * DEPTH * tree + 1, 4 * depth))
-
-    total = reps.count() * TREES
-
-    def counted(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return met(rows, sizes, "run", F.col("size"), total)
-
-    first = reps.select("doc_id", F.posexplode(F.array(*[order(t, DEPTH) for t in range(TREES)])).alias("tree", "run"))
-    done = written(counted(first), "runs")
-    out = [done.where(F.col("size") <= RUN)]
-    for depth in range(DEPTH + 1, DEEPEST + 1):  # dense regions only
-        dense = done.where(F.col("size") > RUN).select("doc_id", "tree")
-        if dense.isEmpty():
-            return _all(out)
-        deeper = F.array(*[order(t, depth) for t in range(TREES)])
-        again = dense.join(reps.select("doc_id", deeper.alias("orders")), "doc_id")
-        done = written(counted(again.select("doc_id", "tree", F.element_at("orders", F.col("tree") + 1).alias("run"))), "runs")
-        out.append(done.where(F.col("size") <= RUN) if depth < DEEPEST else done)
-    return _all(out)
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("run", "doc_id", "size")
+
+    def order(tree: int):
+        return F.xxhash64(F.lit(tree), F.lit(DEPTH), F.substring("signature", 4 * DEPTH * tree + 1, 4 * DEPTH))
+
+    rows = reps.select("doc_id", F.explode(F.array(*[order(t) for t in range(TREES)])).alias("run"))
+    sizes = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return written(met(rows, sizes, "run", F.col("size"), reps.count() * TREES), "runs").select("run", "doc_id", "size")
 
 
 def regions(found: DataFrame) -> DataFrame:

@@ -82,6 +82,18 @@ def test_near_duplicates_cut_deeper(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in want) <= len(want) // 50
 
 
+def test_dense_runs_stay_whole(spark, monkeypatch):
+    """Documents that share five minima in one order, and not one more, are of one region, however many they are."""
+    monkeypatch.setattr(near_dedup, "RUN", 2)
+    rng = np.random.default_rng(4)
+    size = 4 * near_dedup.TREES * near_dedup.DEPTH
+    shared = rng.bytes(4 * near_dedup.DEPTH)
+    rows = [(i, bytearray(shared + rng.bytes(size - len(shared)))) for i in range(6)] + [(9, bytearray(rng.bytes(size)))]
+    found = near_dedup.runs(spark.createDataFrame(rows, "doc_id long, signature binary"))
+    assert sorted((r.doc_id, r.size) for r in found.collect()) == [(i, 6) for i in range(6)]
+    assert sorted(tuple(r) for r in near_dedup.regions(found).collect()) == [(0, i) for i in range(6)]
+
+
 def test_near_duplicates_of_repeated_ids_and_empty_tables(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (1, "p q r s t u v"), (3, "P q r s t u v"), (3, "k l m n")]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, rows)).collect())
