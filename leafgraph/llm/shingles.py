@@ -29,9 +29,19 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
 def word_hashes(raw: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first bytes and ends of the runs of bytes that aren't ``blank``, by default ``[^\\x20\\x09-\\x0D]+``;
     A-Z count as a-z."""
+    start, end = word_spans(raw, blank)
+    return span_hashes(raw, start, end), start, end
+
+
+def word_spans(raw: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the runs of bytes that aren't ``blank``."""
     solid = ~blank[raw]
     edge = np.diff(np.concatenate(([False], solid, [False])).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes, equal for equal bytes wherever they are; A-Z count as a-z."""
     power = np.full(len(raw) + 1, _BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
@@ -40,7 +50,7 @@ def word_hashes(raw: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray
     back = np.full(len(raw) + 1, _BACK, np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    return mixed_bits((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start, end
+    return mixed_bits((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:

@@ -2,7 +2,8 @@
 
 Word inputs: how strongly the word marks toxic documents of the training sample and how often it was seen there.
 Character inputs: the same strength for the word's beginnings and inner n-grams, so that unseen forms of a
-word are recognised. The network reads overlapping windows of every whole text; a text scores as its worst window.
+word are recognised. Words end at blanks and punctuation of ASCII and beyond; what is longer than LETTERS bytes, such as a
+sentence in a script without blanks, is read in overlapping pieces, each a word of its own. The network reads overlapping windows of every whole text; a text scores as its worst window.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafgraph.llm.shingles import mixed_bits, pieces, word_hashes
+from leafgraph.llm.shingles import mixed_bits, pieces, span_hashes, word_spans
 from leafgraph.llm.shipping import Shipped
 
 #: The bounded training sample: so many labelled documents of either kind, with texts of at most so many characters.
@@ -24,7 +25,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 12_000
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 32, 24
 INPUTS, HIDDEN = 6, 8
-#: Beginnings of so many bytes, and n-grams of so many anywhere in a word's first LETTERS bytes.
+#: Beginnings of so many bytes, and n-grams of so many anywhere in a word or piece of LETTERS bytes.
 BEGINS, GRAMS, LETTERS, GRAM_BUCKETS = (3, 4, 5, 6), (4, 5), 24, 1 << 18
 #: STEPS is the least number of steps: a small sample is seen more often.
 EPOCHS, STEPS, BATCH, RATE = 10, 60, 128, 0.02
@@ -35,13 +36,47 @@ _LETTER = np.ones(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False  # what parts words
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: From one piece of a long word to the next: so every inner n-gram of the word is an inner one of some piece.
+PIECE_STRIDE = LETTERS - max(GRAMS)
+#: Code points beyond ASCII that part words: blanks and punctuation, without joiners and marks of direction.
+_PARTS = [
+    0x85, 0xA0, *range(0xA1, 0xAA), 0xAB, 0xAC, *range(0xAE, 0xB2), 0xB4, *range(0xB6, 0xB9), 0xBB, 0xBF, 0xD7, 0xF7,
+    0x37E, 0x387, 0x589, 0x5BE, 0x5C0, 0x5C3, 0x60C, 0x61B, 0x61F, *range(0x66A, 0x66E), 0x6D4, 0x964, 0x965, 0xE5A, 0xE5B, 0x104A, 0x104B, 0x1680, 0x17D4, 0x17D5,
+    *range(0x2000, 0x200C), *range(0x2010, 0x202A), *range(0x202F, 0x2060), *range(0x3000, 0x3005), *range(0x3008, 0x3021), 0x3030, 0x303D, 0x30FB,
+    *range(0xFE30, 0xFE70), *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41), *range(0xFF5B, 0xFF66),
+]
+_PARTS_2 = np.array([int.from_bytes(chr(c).encode()) for c in _PARTS if c < 0x800], np.uint32)
+_PARTS_3 = np.array([int.from_bytes(chr(c).encode()) for c in _PARTS if c >= 0x800], np.uint32)
+
+
+def parted(raw: np.ndarray) -> np.ndarray:
+    """``raw`` (UTF-8) with blanks in place of what parts words beyond ASCII, byte for byte."""
+    out = raw
+    for low, high, size, codes in ((0xC2, 0xE0, 2, _PARTS_2), (0xE0, 0xF0, 3, _PARTS_3)):
+        at = np.flatnonzero((raw >= low) & (raw < high))
+        at = at[at + size <= len(raw)]
+        code = np.zeros(len(at), np.uint32)
+        for k in range(size):
+            code = code << np.uint32(8) | raw[at + k]
+        at = at[np.isin(code, codes)]
+        if len(at):
+            out = out.copy() if out is raw else out
+            for k in range(size):
+                out[at + k] = 0x20
+    return out
 
 
 class Words:
     """The words of a piece of texts: ``kind`` has each word's type, ``bounds`` where each text's words begin."""
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray):
-        hashes, start, end = word_hashes(raw, _LETTER)
+        raw = parted(raw)
+        start, end = word_spans(raw, _LETTER)
+        n = np.maximum(1, -(-(end - start - LETTERS) // PIECE_STRIDE) + 1)
+        skip = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * PIECE_STRIDE
+        start, last = np.repeat(start, n) + skip, np.repeat(end, n)
+        end = np.minimum(start + LETTERS, last)
+        hashes = span_hashes(raw, start, np.where(skip == 0, last, end))  # a first piece is known by its whole word
         self.bounds = np.searchsorted(start, bounds)
         self.hashes, first, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
         self.kind = self.kind.reshape(-1)

@@ -235,6 +235,27 @@ def test_toxicity_of_held_out_documents(spark):
     assert toxicity.scored(docs(spark, rows[:3]), table.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_reads_every_byte():
+    rows, labels = toxic_corpus()
+    model = toxicity.trained(pa.array([t for _, t in rows], pa.large_string()), np.array([y for _, y in labels]), np.ones(len(rows)))
+    clean = [t.split() for (_, t), (_, y) in zip(rows, labels) if not y and t.count(" ") > 40][:20]
+    for glue in ("\u3000", "\u00a0", "\u2014", "\u201d \u201c", "\u3002", "\uff0c"):
+        joined = [glue.join(w) for w in clean] + [glue.join([*w[:20], "grumpf", *w[20:]]) for w in clean]
+        spaced = [j.replace(glue, " ") for j in joined]
+        assert (model.scores(pa.array(joined)) == model.scores(pa.array(spaced))).all(), glue
+    runs = ["".join(w[:20]) for w in clean]
+    inside = model.scores(pa.array([r + "grumpf" + r for r in runs]))
+    assert (inside > 2 * model.scores(pa.array([r + r for r in runs]))).all()
+    for n in (1, 23, 24, 25, 43, 44, 62, 63, 500):
+        word = np.random.default_rng(n).integers(0x4E00, 0x9FFF, n)
+        raw = np.frombuffer(("a" * (n % 3) + "".join(map(chr, word)) + " ").encode(), np.uint8)
+        words = toxicity.Words(raw, np.array([0, len(raw)]))
+        text = [bytes(x).rstrip(b"\0") for x in words.letters]
+        for size in toxicity.GRAMS:
+            inner = {x[i : i + size] for x in text for i in range(1, len(x) - size + 1)}
+            assert inner == {bytes(raw[i : i + size]) for i in range(1, len(raw) - size)}, (n, size)
+
+
 def test_languages(spark):
     got = {r.doc_id: r for r in queries.op6_language_id(spark, SF).collect()}
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
