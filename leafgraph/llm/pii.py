@@ -31,9 +31,9 @@ OTHER_WORDS = "isbn|issn|doi|page|figure|version|chapter|section|order|invoice|s
 KNOWN_FORMS = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^sk-[A-Za-z0-9]{20,}$|^[0-9a-f]{32}$|^[0-9a-f]{40}$|^[0-9a-f]{64}$"
 
 #: Runs of 12 and more letters, digits, _ and - with a digit in them.
-OPAQUE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{12,}+"
+OPAQUE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{12,}+"
 #: Values of 4 and more characters that are given a secret's name.
-NAMED = rf"(?i)(?:{SECRET_WORDS})[\"']?\x20?[=:]\x20?[\"']?([^\s\"',;]{{4,200}}+)"
+NAMED = rf"(?i)(?:{SECRET_WORDS})[\"']?\x20?[=:]\x20?[\"']?([^\s\"',;]{{4,}}+)"
 #: So many characters before a candidate are its context.
 CONTEXT = 24
 ROUNDS = 50

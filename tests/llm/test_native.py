@@ -192,3 +192,11 @@ def test_mixing_of_large_means_and_odd_tables(spark):
     assert mixing.mixed(docs(spark, (None, None), source=None), {mixing.REST: 1.0}, size=5).count() >= 0
     with pytest.raises(ValueError):
         mixing.mixed(rows, {"a": 0.0})
+
+
+def test_long_secrets_are_candidates_to_their_end(spark):
+    named, late = "aB3/+" * 100, "x" * 300 + "12345"
+    table = docs(spark, (1, f"a token={named} b"), (2, f"{late} b"), (3, "x" * 300), (4, "token=" + "q/" * 50_000))
+    got = table.select("doc_id", F.transform(pii.candidates(F.col("text"), pii.nothing()), lambda c: F.struct(c["start"], c["end"])).alias("c")).collect()
+    got = {r.doc_id: {tuple(c) for c in r.c} for r in got}
+    assert (8, 508) in got[1] and got[2] == {(0, 305)} and got[3] == set() and got[4] == {(6, 100_006)}
