@@ -1,9 +1,11 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-Word inputs: how strongly the word marks toxic documents of the training sample and how often it was seen there.
-Character inputs: the same strength for the word's beginnings and inner n-grams, so that unseen forms of a
-word are recognised. Words end at blanks and punctuation of ASCII and beyond; what is longer than LETTERS bytes, such as a
-sentence in a script without blanks, is read in overlapping pieces, each a word of its own. The network reads overlapping windows of every whole text; a text scores as its worst window.
+Word input: a learned vector of the word, found by its hash; a word that no training text had adds nothing.
+Character input: learned vectors of the word's hashed beginnings and inner n-grams, of which the largest value counts in each
+dimension, so that unseen forms of a word are recognised. Training begins one dimension of both at log odds of the sample and
+moves all of them together with the network. Words end at blanks and punctuation of ASCII and beyond; what
+is longer than LETTERS bytes, such as a sentence in a script without blanks, is read in overlapping pieces, each a word of its
+own. The network reads overlapping windows of every whole text; a text scores as its worst window.
 """
 
 from __future__ import annotations
@@ -24,13 +26,23 @@ from leafgraph.llm.shipping import Shipped
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 12_000
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 32, 24
-INPUTS, HIDDEN = 6, 8
+#: Values of a word's vector and of an n-gram's, and of a state of the network.
+WORD_INPUTS, GRAM_INPUTS, HIDDEN = 8, 8, 8
+INPUTS = WORD_INPUTS + GRAM_INPUTS
 #: Beginnings of so many bytes, and n-grams of so many anywhere in a word or piece of LETTERS bytes.
-BEGINS, GRAMS, LETTERS, GRAM_BUCKETS = (3, 4, 5, 6), (4, 5), 24, 1 << 18
+BEGINS, GRAMS, LETTERS = (3, 4, 5, 6), (4, 5), 24
+#: Vectors that words and n-grams share by hash.
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 18
 #: STEPS is the least number of steps: a small sample is seen more often.
-EPOCHS, STEPS, BATCH, RATE = 10, 60, 128, 0.02
-#: Smoothing of the strengths, as so many words seen.
-PRIOR = 4.0
+EPOCHS, STEPS, BATCH, RATE = 5, 120, 128, 0.04
+#: In every so manieth epoch the highest window of each document is looked for anew.
+LOOKS = 3
+#: Smoothing of the first values of vectors, as so many words seen.
+PRIOR = 10.0
+#: The share of words whose vector is left out of a training step, so that their n-grams learn too.
+DROPPED = 0.3
+#: Steadies the steps of vectors: those with small slopes, such as words of clean texts only, hardly move.
+STEADY = 1e-3
 
 _LETTER = np.ones(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False  # what parts words
@@ -99,69 +111,51 @@ class Words:
         self.bounds = np.concatenate([[0], *(p.bounds[1:] + b for p, b in zip(parts, before[:-1], strict=True))])
         return self
 
-    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(bucket of each type, whether the type is long enough, begins)."""
-        letters = self.letters.astype(np.uint64)
-        for n in BEGINS:
-            yield self._code(letters[:, :n], 100 + n), letters[:, n - 1] > 0, True
-        for n in GRAMS:
-            for at in range(1, LETTERS - n + 1):
-                there = letters[:, at + n - 1] > 0
-                if there.any():
-                    yield self._code(letters[:, at : at + n], n), there, False
-
-    @staticmethod
-    def _code(part: np.ndarray, salt: int) -> np.ndarray:
-        code = np.full(len(part), salt, np.uint64)
-        for k in range(part.shape[1]):
-            code = code * np.uint64(257) + part[:, k]
-        return (mixed_bits(code) % np.uint64(GRAM_BUCKETS)).astype(np.int64)
-
-
-class Strengths:
-    """How much oftener words and n-grams occur in toxic documents of a sample, as log odds against all words."""
-
-    def __init__(self, words: Words, toxic: np.ndarray, clean: np.ndarray):
-        """toxic, clean: in how many such documents each word type occurs."""
-        seen = toxic + clean > 0
-        order = np.flatnonzero(seen)
-        self.hashes = words.hashes[order]
+    def buckets(self) -> np.ndarray:
+        return (self.hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(types, the bucket of each) for each place an n-gram may have."""
+        for n, at in [(n, 0) for n in BEGINS] + [(n, at) for n in GRAMS for at in range(1, LETTERS - n + 1)]:
+            types = np.flatnonzero(self.letters[:, at + n - 1])
+            if len(types):
+                code = np.full(len(types), n + (0 if at else 100), np.uint64)
+                for k in range(at, at + n):
+                    code = code * np.uint64(257) + self.letters[types, k]
+                yield types, (mixed_bits(code) % np.uint64(GRAM_BUCKETS)).astype(np.int64)
+
+
+class Vectors:
+    """The learned vectors of words and n-grams."""
+
+    def __init__(self, seed: int = 4):
+        rng = np.random.default_rng(seed)
+        self.words = np.zeros((WORD_BUCKETS, WORD_INPUTS), np.float32)
+        self.grams = rng.normal(0, 0.05, (GRAM_BUCKETS, GRAM_INPUTS)).astype(np.float32)
+
+    def begin(self, words: Words, toxic: np.ndarray, clean: np.ndarray) -> None:
+        """First values of a dimension of each table: log odds of the toxic documents; ``toxic``, ``clean``: in how many such
+        documents each type occurs."""
         share = min(max(toxic.sum() / max(1.0, (toxic + clean).sum()), 1e-3), 0.999)
-        self.odds = self._odds(toxic[order], clean[order], share)
-        self.times = np.log1p(toxic + clean)[order].astype(np.float32)
-        a, b = np.zeros(GRAM_BUCKETS), np.zeros(GRAM_BUCKETS)
-        for code, there, _ in words.grams():
-            a += np.bincount(code[there], toxic[there], GRAM_BUCKETS)
-            b += np.bincount(code[there], clean[there], GRAM_BUCKETS)
-        self.grams = self._odds(a, b, share)
 
-    @staticmethod
-    def _odds(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
-        odds = np.log((a + PRIOR * share) / (b + PRIOR * (1 - share))) - np.log(share / (1 - share))
-        return (odds / 3).astype(np.float32)
+        def odds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (np.log((a + PRIOR * share) / (b + PRIOR * (1 - share))) - np.log(share / (1 - share))) / 3
+
+        at = words.buckets()
+        self.words[:, 0] = odds(np.bincount(at, toxic, WORD_BUCKETS), np.bincount(at, clean, WORD_BUCKETS))
+        a, b = np.zeros(GRAM_BUCKETS), np.zeros(GRAM_BUCKETS)
+        for types, code in words.grams():
+            a += np.bincount(code, toxic[types], GRAM_BUCKETS)
+            b += np.bincount(code, clean[types], GRAM_BUCKETS)
+        self.grams[:, 0] = odds(a, b)
 
     def of(self, words: Words) -> np.ndarray:
-        """Six inputs for each word type."""
-        out = np.zeros((len(words.hashes), INPUTS), np.float32)
-        at = np.minimum(np.searchsorted(self.hashes, words.hashes), max(0, len(self.hashes) - 1))
-        if len(self.hashes):
-            known = self.hashes[at] == words.hashes
-            out[:, 0] = np.where(known, self.odds[at], 0)
-            out[:, 1] = np.where(known, self.times[at], 0) / 4
-        low = np.float32(-9)
-        begins, inner = np.full(len(out), low), np.full(len(out), low)
-        total, n = np.zeros(len(out), np.float32), np.zeros(len(out), np.float32)
-        for code, there, begin in words.grams():
-            odds = self.grams[code]
-            best = begins if begin else inner
-            np.maximum(best, np.where(there, odds, low), out=best)
-            total += np.where(there, odds, 0)
-            n += there
-        out[:, 2] = np.where(begins > low, begins, 0)
-        out[:, 3] = np.where(inner > low, inner, 0)
-        out[:, 4] = total / np.maximum(n, 1)
-        out[:, 5] = (words.letters > 0).sum(1) / 12
-        return out
+        """The inputs of each word type."""
+        pooled = np.full((len(words.hashes), GRAM_INPUTS), -np.inf, np.float32)
+        for types, code in words.grams():
+            pooled[types] = np.maximum(pooled[types], self.grams[code])
+        pooled[np.isinf(pooled)] = 0  # a word too short for any n-gram
+        return np.concatenate([self.words[words.buckets()], pooled], axis=1)
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,9 +214,9 @@ class Network:
             back |= {"ways": ways, "kept": kept, "both": both, "heat": heat, "pooled": pooled, "x": x, "kind": kind}
         return pooled @ self.p["out"] + self.p["bias"][0]
 
-    def backward(self, back: dict, d: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients by name for d, that of the logits."""
-        h, g = HIDDEN, {}
+    def backward(self, back: dict, d: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients by name and those of the inputs for d, that of the logits."""
+        h, g, d_inputs = HIDDEN, {}, np.zeros_like(back["x"])
         both, heat = back["both"], back["heat"]
         g["out"], g["bias"] = back["pooled"].T @ d, d.sum(keepdims=True)
         d_pooled = d[:, None] * self.p["out"]
@@ -249,9 +243,10 @@ class Network:
                 g_u += old.T @ d_a
                 later = later * z + d_a @ u.T
             g[f"u{way}"], g[f"c{way}"] = g_u, d_x.sum((0, 1))
-            flat_x = d_x.reshape(-1, 3 * h)
-            g[f"w{way}"] = back["x"][kind.reshape(-1)].T @ flat_x
-        return g
+            flat_x, flat_kind = d_x.reshape(-1, 3 * h), kind.reshape(-1)
+            g[f"w{way}"] = back["x"][flat_kind].T @ flat_x
+            np.add.at(d_inputs, flat_kind, flat_x @ self.p[f"w{way}"].T)
+        return g, d_inputs
 
 
 def laid_out(words: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,72 +268,107 @@ def logits(network: Network, x: np.ndarray, words: Words) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, network: Network, strengths: Strengths):
-        self.network, self.strengths = network, strengths
+    def __init__(self, network: Network, vectors: Vectors):
+        self.network, self.vectors = network, vectors
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
         for raw, bounds in pieces(pc.utf8_lower(texts)):
             words = Words(raw, bounds)
-            out.append(logits(self.network, self.strengths.of(words), words))
+            out.append(logits(self.network, self.vectors.of(words), words))
         return 1 / (1 + np.exp(-np.concatenate(out).astype(np.float64))) if out else np.zeros(0)
 
 
+class Steps:
+    """Adam over arrays by name."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.arrays, self.n = arrays, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in arrays.items()}
+
+    def take(self, slopes: dict[str, np.ndarray], rate: float) -> None:
+        self.n += 1
+        for k, v in self.arrays.items():
+            m, s = self.moments[k]
+            m += 0.1 * (slopes[k] - m)
+            s += 0.01 * (slopes[k] * slopes[k] - s)
+            v -= rate * (m / (1 - 0.9**self.n)) / (np.sqrt(s / (1 - 0.99**self.n)) + (1e-8 if k not in ("words", "grams") else STEADY))
+
+
+class Batch:
+    """The word types of some windows and where their vectors come from."""
+
+    def __init__(self, kinds: np.ndarray, words: Words, grams: np.ndarray):
+        """grams: buckets of every type of ``words``, GRAM_BUCKETS for none."""
+        used, self.kinds = np.unique(kinds, return_inverse=True)
+        self.kinds = self.kinds.reshape(kinds.shape)
+        self.real = used < len(words.hashes)
+        self.words, self.grams = words.buckets()[used[self.real]], grams[used[self.real]]
+
+    def inputs(self, vectors: Vectors, known: np.ndarray) -> np.ndarray:
+        """Inputs of the types; ``known``: types whose word vector counts."""
+        self.known = known[:, None]
+        pooled = np.full((len(self.grams), GRAM_INPUTS), -np.inf, np.float32)
+        for place in range(self.grams.shape[1]):
+            some = np.flatnonzero(self.grams[:, place] < GRAM_BUCKETS)
+            pooled[some] = np.maximum(pooled[some], vectors.grams[self.grams[some, place]])
+        out = np.zeros((len(self.real), INPUTS), np.float32)
+        out[self.real, :WORD_INPUTS] = vectors.words[self.words] * self.known
+        out[self.real, WORD_INPUTS:] = np.where(np.isinf(pooled), 0, pooled)
+        return out
+
+    def slopes(self, vectors: Vectors, d: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of both tables of vectors from those of the inputs; of the n-grams, the largest one's."""
+        own = d[self.real]
+        words, grams = np.zeros_like(vectors.words), np.zeros_like(vectors.grams)
+        np.add.at(words, self.words, own[:, :WORD_INPUTS] * self.known)
+        some = np.flatnonzero(own[:, WORD_INPUTS:].any(1) & (self.grams < GRAM_BUCKETS).any(1))
+        codes = self.grams[some]
+        each = np.where((codes < GRAM_BUCKETS)[..., None], vectors.grams[np.minimum(codes, GRAM_BUCKETS - 1)], -np.inf)
+        largest = np.take_along_axis(codes, each.argmax(1), 1)
+        np.add.at(grams, (largest, np.arange(GRAM_INPUTS)), own[some, WORD_INPUTS:])
+        return {"words": words, "grams": grams}
+
+
 def trained(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, seed: int = 3) -> Model:
-    """A model of labelled texts. A document's loss is that of its highest window. Strengths come from one half of the
-    documents for the training of the other half, so that the network learns how far to trust them."""
+    """A model of labelled texts. A document's loss is that of its highest window."""
     rng = np.random.default_rng(seed)
     words = Words.of(texts)
     n = len(texts)
-    half = np.zeros(n, bool)
-    for label in (0, 1):  # as many of each kind in both halves
-        own = rng.permutation(np.flatnonzero(toxic == label))
-        half[own[::2]] = True
+    found = list(words.grams())
+    grams = np.full((len(words.hashes), max(1, len(found))), GRAM_BUCKETS, np.int32)
+    for place, (types, code) in enumerate(found):
+        grams[types, place] = code
+    network, vectors = Network(seed), Vectors(seed)
     of = np.repeat(np.arange(n), np.diff(words.bounds))
-    pairs = np.unique(of.astype(np.int64) * len(words.hashes) + words.kind)
-    doc, kind = np.divmod(pairs, max(1, len(words.hashes)))
-
-    def strengths(docs: np.ndarray) -> Strengths:
-        counts = [np.bincount(kind[docs[doc] & (toxic[doc] == label)], minlength=len(words.hashes)).astype(float) for label in (1, 0)]
-        return Strengths(words, *counts)
-
-    network = Network(seed)
-    x = {h: strengths(half != h).of(words) for h in (False, True)}
+    seen, kind = np.divmod(np.unique(of.astype(np.int64) * len(words.hashes) + words.kind), max(1, len(words.hashes)))
+    vectors.begin(words, *(np.bincount(kind[toxic[seen] == label], minlength=len(words.hashes)).astype(float) for label in (1, 0)))
+    steps = Steps(network.p | {"words": vectors.words, "grams": vectors.grams})
     start, size, first = windows(words.bounds)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
-    step = 0
-    epochs = max(EPOCHS, -(-STEPS // (2 * -(-n // BATCH)))) if n else 0
+    highest = first[:-1].copy()
+    epochs = max(EPOCHS, -(-STEPS // -(-n // BATCH))) if n else 0
     for epoch in range(epochs):
         order = rng.permutation(n)
         for low in range(0, n, BATCH):
-            for h in (False, True):
-                docs = order[low : low + BATCH]
-                docs = docs[half[docs] == h]
-                if not len(docs):
-                    continue
+            docs = order[low : low + BATCH]
+            if epoch % LOOKS == 0:
                 own = np.concatenate([np.arange(first[i], first[i + 1]) for i in docs])
-                mine = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
+                mine = np.concatenate(([0], np.cumsum(first[docs + 1] - first[docs])))
                 kinds, there = laid_out(words, start[own], size[own])
-                used, local = np.unique(kinds, return_inverse=True)
-                real = used < len(words.hashes)
-                inputs = np.zeros((len(used), INPUTS), np.float32)
-                inputs[real] = x[h][used[real]]
-                local = local.reshape(kinds.shape)
-                all_logits = np.concatenate([network.forward(inputs, local[:, i : i + 4096], there[:, i : i + 4096]) for i in range(0, len(own), 4096)])
-                top = np.array([np.flatnonzero(mine == k)[np.argmax(all_logits[mine == k])] for k in range(len(docs))])
-                back: dict = {}
-                score = network.forward(inputs, local[:, top], there[:, top], back)
-                d = (1 / (1 + np.exp(-score)) - toxic[docs]) * weight[docs] / BATCH
-                g = network.backward(back, d.astype(np.float32))
-                step += 1
-                rate = RATE * (1 - epoch / epochs)
-                for k, v in network.p.items():
-                    m, s = moments[k]
-                    grad = g[k] + 1e-4 * v
-                    m += 0.1 * (grad - m)
-                    s += 0.01 * (grad * grad - s)
-                    v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return Model(network, strengths(np.ones(n, bool)))
+                batch = Batch(kinds, words, grams)
+                inputs = batch.inputs(vectors, np.ones(len(batch.words), bool))
+                heights = np.concatenate([network.forward(inputs, batch.kinds[:, i : i + 4096], there[:, i : i + 4096]) for i in range(0, len(own), 4096)])
+                highest[docs] = [own[a + np.argmax(heights[a:b])] for a, b in zip(mine[:-1], mine[1:], strict=True)]
+            kinds, there = laid_out(words, start[highest[docs]], size[highest[docs]])
+            batch = Batch(kinds, words, grams)
+            inputs = batch.inputs(vectors, rng.random(len(batch.words)) >= DROPPED)
+            back: dict = {}
+            score = network.forward(inputs, batch.kinds, there, back)
+            d = (1 / (1 + np.exp(-score)) - toxic[docs]) * weight[docs] / len(docs)
+            slopes, d_inputs = network.backward(back, d.astype(np.float32))
+            slopes = {k: g + 1e-4 * network.p[k] for k, g in slopes.items()} | batch.slopes(vectors, d_inputs)
+            steps.take(slopes, RATE * (1 - epoch / epochs))
+    return Model(network, vectors)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -388,3 +418,17 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`scored` predicts not to be toxic, with their columns as they are, whatever their
+    names. Null and empty texts stay; an empty table gives no rows; rows repeated stay or go together."""
+    shared = Shipped(docs.sparkSession.sparkContext, fitted(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.open()
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

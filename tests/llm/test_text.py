@@ -182,10 +182,10 @@ def test_toxicity_gradients():
     weight = rng.normal(size=5).astype(np.float32)
     back: dict = {}
     network.forward(x, kind, there, back)
-    g = network.backward(back, weight)
-    for name, values in network.p.items():
-        flat, slope = values.reshape(-1), g[name].reshape(-1)
-        for i in rng.choice(len(flat), min(4, len(flat)), replace=False):
+    g, d_inputs = network.backward(back, weight)
+    for name, values in [*network.p.items(), ("inputs", x)]:
+        flat, slope = values.reshape(-1), (d_inputs if name == "inputs" else g[name]).reshape(-1)
+        for i in rng.choice(len(flat), min(8, len(flat)), replace=False):
             old = flat[i]
             flat[i] = old + 1e-2
             up = (network.forward(x, kind, there).astype(float) * weight).sum()
@@ -195,6 +195,86 @@ def test_toxicity_gradients():
             assert (up - down) / 2e-2 == pytest.approx(slope[i], rel=0.05, abs=2e-2), name
 
 
+def test_slopes_of_vectors_reach_the_words_and_their_largest_grams():
+    rng = np.random.default_rng(1)
+    words = toxicity.Words.of(pa.array(["alpha bet gamma delta alphabet a", "zz"], pa.large_string()))
+    found = list(words.grams())
+    grams = np.full((len(words.hashes), len(found)), toxicity.GRAM_BUCKETS, np.int32)
+    for place, (types, code) in enumerate(found):
+        grams[types, place] = code
+    vectors = toxicity.Vectors()
+    vectors.words[:] = rng.normal(size=vectors.words.shape)
+    batch = toxicity.Batch(np.arange(len(words.hashes) + 1), words, grams)
+    known = np.ones(len(words.hashes), bool)
+    known[0] = False
+    x = batch.inputs(vectors, known)
+    assert (x[-1] == 0).all() and (x[0, : toxicity.WORD_INPUTS] == 0).all()
+    assert np.array_equal(x[1:-1], vectors.of(words)[1:]) and np.array_equal(x[:-1, toxicity.WORD_INPUTS :], vectors.of(words)[:, toxicity.WORD_INPUTS :])
+    d = rng.normal(size=x.shape).astype(np.float32)
+    slopes = batch.slopes(vectors, d)
+    for name, table in (("words", vectors.words), ("grams", vectors.grams)):
+        for at in np.argwhere(slopes[name])[:40]:
+            old = table[tuple(at)]
+            table[tuple(at)] = old + 1e-3
+            up = (batch.inputs(vectors, known) * d).sum(dtype=float)
+            table[tuple(at)] = old
+            assert (up - (x * d).sum(dtype=float)) / 1e-3 == pytest.approx(slopes[name][tuple(at)], rel=0.05, abs=2e-2), name
+        assert np.count_nonzero(slopes[name]) >= 24
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def slow_score(model, text):
+    """The score by loops over single words, states and windows; words of ASCII only, of 24 bytes at most."""
+    p, h = {k: v.astype(float) for k, v in model.network.p.items()}, toxicity.HIDDEN
+    seq = re.findall("[0-9a-z]+", text.lower())
+
+    def code(part, salt):
+        x = salt
+        for c in part.encode():
+            x = (x * 257 + c) % 2**64
+        return int(shingles.mixed_bits(np.array([x], np.uint64))[0] % np.uint64(toxicity.GRAM_BUCKETS))
+
+    def vector(word):
+        whole = shingles.span_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]))[0]
+        codes = [code(word[:n], n + 100) for n in toxicity.BEGINS if len(word) >= n]
+        codes += [code(word[i : i + n], n) for n in toxicity.GRAMS for i in range(1, len(word) - n + 1)]
+        grams = [max(model.vectors.grams[c][k] for c in codes) for k in range(toxicity.GRAM_INPUTS)] if codes else [0] * toxicity.GRAM_INPUTS
+        return np.array([*model.vectors.words[int(whole % np.uint64(toxicity.WORD_BUCKETS))], *grams], float)
+
+    def states(xs, way):
+        state, out = np.zeros(h), []
+        for x in xs:
+            a, b = x @ p[f"w{way}"] + p[f"c{way}"], state @ p[f"u{way}"]
+            z, r = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+            state = (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :]) + z * state
+            out.append(state)
+        return out
+
+    best, at = -np.inf, 0
+    while True:
+        xs = [vector(w) for w in seq[at : at + toxicity.WINDOW]]
+        blanks = [np.zeros(toxicity.INPUTS)] * (toxicity.WINDOW - len(xs))
+        ahead, behind = states(xs + blanks, "f"), states((xs + blanks)[::-1], "b")[::-1]
+        both = [np.concatenate(x) for x in zip(ahead, behind)][: max(1, len(xs))]
+        heat = np.exp([x @ p["v"] for x in both]) if xs else np.ones(1)
+        if not xs:
+            both = [np.mean([np.concatenate(x) for x in zip(ahead, behind)], axis=0)]
+        best = max(best, sum(w * x for w, x in zip(heat / heat.sum(), both)) @ p["out"] + p["bias"][0])
+        if at + toxicity.WINDOW >= len(seq):
+            return sigmoid(best)
+        at += toxicity.STRIDE
+
+
+def test_scores_equal_those_by_loops():
+    rows, labels = toxic_corpus(200)
+    model = toxicity.trained(pa.array([t for _, t in rows], pa.large_string()), np.array([y for _, y in labels]), np.ones(len(rows)))
+    texts = [t for _, t in rows[:25]] + ["", "a", "Grumpf!", "ba " * 33 + "grumpf", "x-y (grumpf) 12 é".replace("é", "")]
+    assert model.scores(pa.array(texts)) == pytest.approx([slow_score(model, t) for t in texts], abs=2e-4)
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 56, 57, 1000):
         start, size, first = toxicity.windows(np.array([0, n]))
