@@ -28,11 +28,11 @@ class DigestIndex:
     """The digests seen so far: a table at ``path``, bucketed and sorted by digest.
 
     Without a path it is the application's own and goes with it. Opening an existing path continues that index;
-    ``buckets`` must then be as it was. A lost batch leaves no partial rows: Spark's committer publishes an append as a
-    whole.
+    ``buckets`` must then be as it was. Each digest has the name of the batch that brought it, so a batch whose job failed
+    can be ingested again under its name. Each append adds a file a bucket; :meth:`compacted` makes one of them.
     """
 
-    SCHEMA = "text_sha256 STRING, keep_id BIGINT, keep_points INT"
+    SCHEMA = "text_sha256 STRING, keep_id BIGINT, keep_points INT, batch STRING"
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -49,27 +49,41 @@ class DigestIndex:
 
     def append(self, fresh: DataFrame) -> None:
         """Adds rows of SCHEMA whose digests the index does not have; one file per bucket."""
-        rows = fresh.select("text_sha256", "keep_id", "keep_points").repartition(self.buckets, "text_sha256")
+        rows = fresh.select("text_sha256", "keep_id", "keep_points", "batch").repartition(self.buckets, "text_sha256")
         rows.write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def compacted(self, path: str | None = None) -> DigestIndex:
+        """The same digests in a new index, one sorted file a bucket; the old one stays until its folder is deleted."""
+        fresh = DigestIndex(self.spark, path, self.buckets)
+        fresh.append(self.rows())
+        return fresh
 
-def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    def close(self) -> None:
+        """Takes the table out of the catalog; its files stay at ``path``."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def ingest(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """Dedupes ``docs`` (doc_id, text) against the index and within itself, and appends the new digests.
 
     Returns a row per input row: doc_id, keep_id, group_size (rows of this batch), kept, text_sha256, and
     is_new (the digest was not in the index before). Of equal texts of a batch the one with the most code points,
-    then the smallest doc_id stays; a text that an earlier batch brought is never kept again.
+    then the smallest doc_id stays; a text that another batch brought is never kept again. ``batch`` names the batch: the
+    same rows ingested again under their name, say after a failure, get the same answers and add nothing twice; without a
+    name each call is a batch of its own.
     Null text counts as empty; a null doc_id comes after all others (its ``kept`` is true only where the group has no
     other id). Rows repeated with one doc_id get the same answer each. An empty table gives no rows. Columns besides
     doc_id and text are not looked at.
     """
+    batch = batch or uuid.uuid4().hex
     rows = written(
         docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("points")),
         "digests",
     )
     best = F.max(F.struct("points", F.bitwise_not(F.col("doc_id")).alias("behind")))
-    batch = written(
+    others = index.rows().where(F.col("batch") != batch)
+    groups = written(
         rows.groupBy("text_sha256")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
         .select(
@@ -78,14 +92,14 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
             F.col("best.points").alias("keep_points"),
             "group_size",
         )
-        .join(index.rows().select("text_sha256", F.col("keep_id").alias("old_id")).hint("merge"), "text_sha256", "left")
+        .join(others.select("text_sha256", F.col("keep_id").alias("old_id")).hint("merge"), "text_sha256", "left")
         .select("text_sha256", "keep_id", "keep_points", "group_size", "old_id", F.col("old_id").isNull().alias("is_new")),
         "groups",
     )
     seen = index.rows().select("text_sha256").hint("merge")
-    index.append(batch.join(seen, "text_sha256", "left_anti").select("text_sha256", "keep_id", "keep_points"))
+    index.append(groups.join(seen, "text_sha256", "left_anti").withColumn("batch", F.lit(batch)))
 
-    facts = batch.select(
+    facts = groups.select(
         F.col("text_sha256"),
         F.coalesce("old_id", "keep_id").alias("keep_id"),
         "group_size",
@@ -111,7 +125,8 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def unique_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that :func:`ingest` keeps, one for each text, with all their columns.
 
-    Where the row that stays is itself repeated, one of the repeats stays: the one whose original text is smallest.
+    Where the row that stays is itself repeated, one of the repeats stays: one with the most code points, not null before
+    null, then the last by its columns as JSON.
     """
     kept = written(
         ingest(docs, index).where("kept").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("times")), "kept"
@@ -122,5 +137,6 @@ def unique_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     once = found.where("times = 1").select("row.*")
     if kept.where("times > 1").isEmpty():
         return once
-    again = found.where("times > 1").groupBy("sha").agg(F.min_by("row", "row.text").alias("row")).select("row.*")
+    rank = F.struct(F.coalesce(F.length("row.text"), F.lit(0)), F.col("row.text").isNotNull(), F.to_json("row"))
+    again = found.where("times > 1").groupBy("sha").agg(F.max_by("row", rank).alias("row")).select("row.*")
     return once.unionByName(again)
