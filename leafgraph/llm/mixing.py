@@ -74,7 +74,8 @@ def mixed(docs: DataFrame, weights: dict[str, float], size: int | None = None, s
                 lambda n, part: n + F.size(F.filter(steps, lambda s: s <= unit(F.lit(seed), F.col("doc_id"), part))),
             )
         times = F.when(g == F.lit(name), passed).otherwise(times)
-    copies = docs.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "_times")))
+    # counted from 0, as a sequence from 1 to 0 would run backwards
+    copies = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), times))).where("copy > 0")
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    copies = copies.drop("_times").withColumn("shuffle_key", key)
+    copies = copies.withColumn("shuffle_key", key)
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
