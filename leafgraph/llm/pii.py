@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.session import written
+
 #: Where a match may begin is where its run of characters does, or where the last match ended.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -36,6 +38,8 @@ OPAQUE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{12,}+"
 NAMED = rf"(?i)(?:{SECRET_WORDS})[\"']?\x20?[=:]\x20?[\"']?([^\s\"',;]{{4,}}+)"
 #: So many characters before a candidate are its context.
 CONTEXT = 24
+#: Beyond all positions, negated.
+FAR = -(2**31) + 1
 ROUNDS = 50
 ACCEPT = 0.5
 
@@ -44,22 +48,67 @@ def nothing() -> Column:
     return F.expr("cast(array() as array<struct<start:int,end:int,text:string,before:string>>)")
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, though the result names it more often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(numbers: Column, join=lambda a, x: a + x, first: int = 0) -> Column:
+    """Running sums of an array of numbers, or what else ``join`` makes of them from ``first`` on. A fold copies what it has
+    gathered at each step; it runs over pieces of about the square root of the array's size and over their totals, so that
+    very many numbers do not cost their square."""
+    gather = lambda seen, x: F.struct(join(seen["at"], x).alias("at"), F.concat(seen["found"], F.array(join(seen["at"], x))).alias("found"))
+    start = lambda at: F.struct(at.alias("at"), F.expr("cast(array() as array<int>)").alias("found"))
+    scan = lambda values, at: F.aggregate(values, start(at), gather)["found"]
+
+    def over(pieces: Column) -> Column:
+        totals = F.transform(pieces, lambda piece: F.aggregate(piece, F.lit(first), join))
+        before = F.slice(F.concat(F.array(F.lit(first)), scan(totals, F.lit(first))), F.lit(1), F.size(pieces))
+        return F.flatten(F.zip_with(pieces, before, scan))
+
+    def cut(values: Column) -> Column:
+        n = F.greatest(F.size(values), F.lit(1))
+        return bound(F.ceil(F.sqrt(n)).cast("int"), lambda size: F.transform(F.sequence(F.lit(1), n, size), lambda at: F.slice(values, at, size)))
+
+    return bound(bound(numbers, cut), over)
+
+
+def apart(found: Column, spans: Column) -> Column:
+    """The located matches of ``found`` that overlap none of ``spans``: both in one order of start, each is held against
+    the farthest end so far and the next start."""
+    marked = lambda of, yes: F.transform(of, lambda c: F.struct(*[c[k].alias(k) for k in ("start", "end", "text", "before")], F.lit(yes).alias("span")))
+
+    def most(a: Column, x: Column) -> Column:
+        return F.greatest(a, x)
+
+    def left(every: Column) -> Column:
+        ends = running(F.transform(every, lambda c: F.when(c["span"], c["end"]).otherwise(0)), most)
+        starts = F.reverse(running(F.reverse(F.transform(every, lambda c: F.when(c["span"], -c["start"]).otherwise(FAR))), most, FAR))
+        held = F.arrays_zip(every.alias("c"), ends.alias("reached"), starts.alias("ahead"))
+        free = F.filter(held, lambda x: ~x["c"]["span"] & (x["reached"] <= x["c"]["start"]) & (-x["ahead"] >= x["c"]["end"]))
+        return F.transform(free, lambda x: F.struct(*[x["c"][k].alias(k) for k in ("start", "end", "text", "before")]))
+
+    return F.when(F.size(spans) == 0, found).otherwise(bound(F.sort_array(F.concat(marked(spans, True), marked(found, False))), left))
+
+
 def located(text: Column, pattern: str, value: int = 0) -> Column:
     """Matches of a pattern as structs start, end (code points, end exclusive), text, before (the CONTEXT characters
     ahead, as far as the last match); ``value``: the group that ends the match and is wanted, 0 for all of it.
 
-    Positions are sums of the lengths of what lies between matches and of the matches.
+    Positions are running sums of the lengths of what lies between matches and of the matches.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("text"))
 
-    def step(seen: Column, part: Column) -> Column:
-        end = seen["at"] + F.length(part["gap"]) + F.length(part["whole"])
+    def match(part: Column, end: Column) -> Column:
         ahead = F.concat(part["gap"], F.left(part["whole"], F.length(part["whole"]) - F.length(part["text"])))
-        match = F.struct((end - F.length(part["text"])).alias("start"), end.alias("end"), part["text"].alias("text"), F.right(ahead, F.lit(CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(seen["found"], F.array(match)).alias("found"))
+        return F.struct((end - F.length(part["text"])).alias("start"), end.alias("end"), part["text"].alias("text"), F.right(ahead, F.lit(CONTEXT)).alias("before"))
+
+    def matches(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["whole"])))
+        return F.zip_with(parts, ends, match)
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), nothing().alias("found")), step)["found"]
+    return bound(parts, matches)
 
 
 def digits(text: Column) -> Column:
@@ -81,7 +130,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     """Arrays of located matches by base kind."""
 
     def found(hint: Column, pattern: str, holds) -> Column:
-            return F.when(hint, F.filter(located(text, pattern), lambda m: holds(m["text"]))).otherwise(nothing())
+        return F.when(hint, F.filter(located(text, pattern), lambda m: holds(m["text"]))).otherwise(nothing())
 
     def card(m: Column) -> Column:
         n = F.length(digits(m))
@@ -99,8 +148,10 @@ def candidates(text: Column, base: Column) -> Column:
     """Located candidates outside the base spans (an array of all kinds)."""
     opaque = F.when(text.rlike(OPAQUE), located(text, OPAQUE)).otherwise(nothing())
     named = F.when(text.rlike(NAMED), located(text, NAMED, 1)).otherwise(nothing())
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return F.filter(F.array_distinct(F.concat(opaque, named)), free)
+    # each once: array_distinct compares structs pair by pair, sorted ones need only be held against the one before
+    once = lambda all_: F.filter(all_, lambda c, i: (i == 0) | ~c.eqNullSafe(F.get(all_, i - 1)))
+    found = bound(F.sort_array(F.concat(opaque, named)), once)
+    return bound(base, lambda spans: apart(found, spans))
 
 
 def sign(yes: Column, no: Column) -> Column:
@@ -220,9 +271,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spans = rows.select("*", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     # a text without a digit or a sign of assignment has no candidate
     spans = spans.withColumn("all", F.when(F.col("text").rlike("[0-9=:]"), candidates(F.col("text"), F.concat(*KINDS))))
+    # the texts are read once: what was found, without them, is all that learning and judging need
+    places = [F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k in KINDS]
+    spans = written(spans.select("doc_id", *places, "all"), "spans")
     judge = learned(spans.select(F.explode("all").alias("c")))
     accepted = F.filter(F.coalesce("all", nothing()), judge.accepts)
-    extra = F.array_sort(F.array_distinct(F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))))
+    coded = F.transform(accepted, lambda c: F.shiftleft(c["start"].cast("long"), 32) + c["end"])
+    extra = F.transform(F.sort_array(F.array_distinct(coded)), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("end")))
     base = [(k, F.col(k)) for k in KINDS]
     return spans.withColumn("secret", extra).select(
         "doc_id",
