@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_RULES = 100_000
 #: Shuffled expressions of one hash prefix are dealt to so many tasks, with the rules copied to each.
 SALTS = 32
+#: Numbers of labels, or lengths of paths, that are listed in the plan; where the rules have more, all are tried.
+LENGTHS = 1024
 #: Hexadecimal digits of the short hash.
 SHORT = 8
 
@@ -24,12 +26,25 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _numbers(column: DataFrame) -> list[int] | None:
+    """The different values of a column, None for more than LENGTHS."""
+    found = sorted(r[0] for r in column.distinct().limit(LENGTHS + 1).collect())
+    return found if len(found) <= LENGTHS else None
+
+
+def _those(most: Column, numbers: list[int] | None, least: int) -> Column:
+    """The ``numbers`` up to ``most``; None: all from ``least`` on."""
+    if numbers is None:
+        return F.sequence(F.lit(least), most)
+    return F.filter(F.array(*map(F.lit, numbers)).cast("array<int>"), lambda n: n <= most)
+
+
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """The verdict of the longest rule that fits each url.
 
     ``pages``: page_id, url; ``rules``: verdict, host, path. A rule fits its host and all subdomains where the url's
-    path starts with the rule's. Every host suffix with every path prefix as long as some rule's path is an
-    expression; expressions meet rules on the first SHORT hex digits of their SHA-256, then the full digest decides.
+    path starts with the rule's. Every host suffix of as many labels as some rule's host has, with every path prefix as long
+    as some rule's path (with paths of over LENGTHS lengths: every prefix), is an expression; expressions meet rules on the first SHORT hex digits of their SHA-256, then the full digest decides.
     Of the rules that fit, the one with the most characters wins, then the longer host, then block before allow.
 
     Returns page_id, host, path, rule (host + path of the rule, else null), verdict (the rule's, else ``default``),
@@ -38,9 +53,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     ignored. Other columns of either table are not looked at.
     """
     rules = rules.select("verdict", "host", "path").dropna().distinct()
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(4097).collect())
-    if len(lengths) > 4096:
-        raise ValueError("rules have paths of more than 4096 different lengths; urls are no longer than that")
+    depth = F.size(F.split("host", r"\."))
+    lengths, depths = _numbers(rules.select(F.length("path"))), _numbers(rules.select(depth))
     rules = rules.select(
         F.sha2(F.concat("host", F.lit(" "), "path"), 256).alias("full"),
         F.struct(
@@ -50,21 +64,16 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
             F.concat("host", "path").alias("rule"),
         ).alias("found"),
     ).withColumn("short", F.substring("full", 1, SHORT))
-    urls = (
-        pages.groupBy("page_id", "url")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .select("page_id", "url", "times", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    )
+    urls = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
+        _those(F.size(labels), depths, 1), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
     )
-    prefixes = F.transform(
-        F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
-    ) if lengths else F.array(F.lit(None).cast("string"))
+    prefixes = F.transform(_those(F.length("path"), lengths, 0), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    # expanded where the rows are read: the first expression of a row, or that of a row without any, counts the row
     expressions = urls.select(
-        "*", F.explode_outer(F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit(" "), p))))).alias("expression")
-    ).select("page_id", "url", "times", "host", "path", F.sha2("expression", 256).alias("sha"))
+        "*", F.posexplode_outer(F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit(" "), p))))).alias("place", "expression")
+    ).select("page_id", "url", "host", "path", (F.coalesce("place", F.lit(0)) == 0).cast("long").alias("times"), F.sha2("expression", 256).alias("sha"))
     key = (F.col("at") == F.col("short")) & (F.col("sha") == F.col("full"))
     expressions = expressions.withColumn("at", F.substring("sha", 1, SHORT))
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
@@ -74,7 +83,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
         dealt = expressions.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         met = dealt.join(salted, key & (F.col("salt") == F.col("salt2")), "left")
     best = met.groupBy("page_id", "url").agg(
-        F.max("found").alias("found"), F.first("times").alias("times"), F.first("host").alias("host"), F.first("path").alias("path")
+        F.max("found").alias("found"), F.sum("times").alias("times"), F.first("host").alias("host"), F.first("path").alias("path")
     )
     return best.select(
         "page_id",
