@@ -60,11 +60,19 @@ class Model:
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, limits: np.ndarray):
         self.languages, self.idf, self.centroids, self.of, self.limits = languages, idf, centroids, of, limits
 
+    @classmethod
+    def empty(cls) -> Model:
+        """A model without languages; nothing can be predicted with it."""
+        return cls([], np.ones(SLOTS, np.float32), np.zeros((0, SLOTS), np.float32), np.zeros(0, int), np.zeros(0))
+
     def weighted(self, counts: np.ndarray) -> np.ndarray:
         return normal(np.log1p(counts) * self.idf)
 
     def predicted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, cosine, and whether it is farther than the limit, for each text."""
+        if not self.languages:
+            n = len(texts)
+            return np.zeros(n, int), np.zeros(n), np.ones(n, bool)
         out: list = []
         block: list = []
 
@@ -122,14 +130,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame) -> Model:
-    """A model of about TRAIN_PER_LANGUAGE documents of each language, chosen by hash among those that are not held out.
+    """A model of about TRAIN_PER_LANGUAGE documents of each language, chosen by hash among those that are not held out;
+    an empty one if there is none with a letter. More than LANGUAGES languages raise ValueError: their sample would not fit
+    the driver.
 
     The executors send a training document's non-zero counts only: at most SLOTS numbers, however long the text.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if not n or len(n) > LANGUAGES:
-        raise ValueError(f"{len(n)} languages to learn; there must be 1 to {LANGUAGES}")
+    if len(n) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages to learn; raise LANGUAGES if the driver has 26 MB for each")
+    if not n:
+        return Model.empty()
     share = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, TRAIN_PER_LANGUAGE / c))])
     at = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(has_letter(F.col("text"))).where(at < share[F.col("lang")]).select("doc_id", "lang", "text")
@@ -144,7 +156,10 @@ def fitted(docs: DataFrame) -> Model:
             columns = [batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "slots", "counts"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, lang string, slots array<int>, counts array<float>").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = chosen.mapInArrow(run, f"doc_id {kind}, lang string, slots array<int>, counts array<float>").toArrow()
+    if not len(rows):
+        return Model.empty()
     rows = rows.take(pc.sort_indices(rows, [("lang", "ascending"), ("doc_id", "ascending")]))
     counts = np.zeros((len(rows), SLOTS), np.float32)
     for i, (s, c) in enumerate(zip(rows.column("slots"), rows.column("counts"), strict=True)):
@@ -158,10 +173,9 @@ def identified(docs: DataFrame) -> DataFrame:
     ``lang`` serves only to fit the model, and not that of held-out documents. lang_pred is ``und`` and score 0 where
     the text is null or has no letter; else it is a learned language and score the cosine with its nearest centroid.
     rejected: there is no letter, or the centroid is farther than all but REJECTED of its own training documents. An empty
-    table gives no rows; a table without any document to learn from raises ValueError. Rows repeated count each.
+    table gives no rows. Where no document can be learned from, as none has both a language and a letter, every prediction
+    is ``und`` with score 0 and rejected. Rows repeated count each; doc_id may be of any type.
     """
-    if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
     shared = Shipped(docs.sparkSession.sparkContext, fitted(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +183,7 @@ def identified(docs: DataFrame) -> DataFrame:
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             best, cosine, far = model.predicted(batch.column(2))
-            lettered = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            lettered = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
             best = np.where(lettered, best, len(names) - 1)
             score = np.where(lettered, np.clip(cosine, 0, 1), 0.0)
             columns = [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(far | ~lettered)]
