@@ -21,8 +21,8 @@ UPPER = {c: c + 32 for c in range(65, 91)}
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
 #: Item words in one automaton: some 500 bytes each on the driver and in each worker. A larger benchmark takes several
-#: automata, loaded one after the other for each batch of documents.
-BLOCK_WORDS = 200_000
+#: automata, loaded one after the other for some BLOCK_BYTES of documents.
+BLOCK_WORDS, BLOCK_BYTES = 200_000, 1 << 25
 #: A document with a larger share of hit words is dropped whole by :func:`cleaned`.
 MAX_COVERAGE = 0.5
 
@@ -149,6 +149,21 @@ def shipped(items: DataFrame, window: int, size: int) -> list[Shipped]:
     return [Shipped(context, a) for a in blocks(rows, window, size)]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], automata: int) -> Iterator[pa.RecordBatch]:
+    """The batches; where there are several automata, joined to some BLOCK_BYTES, so that each is loaded once for these."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if automata < 2:
+            yield batch
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def each(shared: list[Shipped], one: Automaton | None, texts: list[str | None]) -> Iterator[tuple[list[str], list[tuple[int, int, tuple]]]]:
     """Words and matches of each text; ``one``: the only automaton, if there is only one."""
     if one:
@@ -185,7 +200,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared[0].open() if len(shared) == 1 else None
-        for batch in batches:
+        for batch in gathered(batches, len(shared)):
             rows = []
             for seq, found in each(shared, one, batch.column(1).to_pylist()):
                 if not found:
@@ -231,7 +246,7 @@ def cleaned(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared[0].open() if len(shared) == 1 else None
-        for batch in batches:
+        for batch in gathered(batches, len(shared)):
             texts = batch.column(at).to_pylist()
             keep, changed = [True] * len(texts), {}
             for i, (seq, found) in enumerate(each(shared, one, texts)):
