@@ -1,7 +1,11 @@
 """Exact dedup, personal data, license scans, URL rules and mixing against brute force, with odd rows."""
 
 import hashlib
+import itertools
+import random
 import re
+import string
+import time
 from collections import Counter
 
 import pytest
@@ -59,6 +63,28 @@ def test_unique_documents_keep_one_row_and_all_columns(spark):
     assert sorted(((r.doc_id or 0), len(r.text or "")) for r in got.collect()) == [(3, 3), (6, 4), (7, len(LONG)), (8, 3)]
 
 
+def test_unique_documents_keep_rows_of_repeated_null_and_unequal_texts(spark):
+    rows = docs(spark, (1, None), (1, None), (2, "x"), (2, "x "), (2, "x"), (3, "y"), (3, "y"), (4, ""))
+    got = exact_dedup.unique_documents(rows, exact_dedup.DigestIndex(spark)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == [(1, None), (2, "x "), (3, "y")]
+    assert {r.source for r in got} == {"a"}
+
+
+def test_a_batch_ingested_again_gets_the_same_answers(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    exact_dedup.ingest(docs(spark, (9, "old")), index, "first")
+    batch = docs(spark, (1, "a"), (2, "a "), (3, "old"), (4, None))
+    once = exact_dedup.ingest(batch, index, "second").collect()
+    again = exact_dedup.ingest(batch, index, "second").collect()
+    assert Counter(once) == Counter(again) and {r.doc_id for r in once if r.kept} == {2, 4}
+    assert index.rows().count() == 3
+    assert [r.kept for r in exact_dedup.ingest(batch, index, "third").collect()] == [False] * 4
+    small = index.compacted()
+    assert Counter(small.rows().collect()) == Counter(index.rows().collect())
+    index.close()
+    assert [r.kept for r in exact_dedup.ingest(batch, small).collect()] == [False] * 4
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -114,6 +140,52 @@ def test_secrets_are_found_among_other_codes(spark):
     assert t[start:end] == hashlib.sha1(b"0").hexdigest()
 
 
+def test_very_many_matches_are_located_in_time(spark):
+    n = 20_000
+    text = " ".join(f"{i % 300}.1.2.{i % 256}" for i in range(n)) + " " + ",".join(str(10**15 + i) for i in range(n))
+    table = docs(spark, (1, text))
+    began = time.time()
+    got = pii.personal_data(table).first()
+    assert time.time() - began < 60  # a fold that copies what it has gathered took minutes
+    want = base_spans(text)
+    assert got.spans.startswith(want) and got.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    sizes = spark.createDataFrame([(list(range(k)),) for k in (0, 1, 2, 3, 4, 5, 9, 10, 17, 100)], "a array<int>")
+    for r in sizes.select("a", pii.running(F.col("a")).alias("sums")).collect():
+        assert r.sums == list(itertools.accumulate(r.a))
+
+
+def planted(n, seed):
+    """(text, end of the secret's span, secret) of texts with one secret each, in several forms, and texts with other codes."""
+    rng = random.Random(seed)
+    letters = string.ascii_letters + string.digits
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(3, 9)))
+    some = lambda k, of=letters: "".join(rng.choice(of) for _ in range(k))
+    forms = [lambda: "AKIA" + some(16, string.ascii_uppercase + string.digits), lambda: "ghp_" + some(36), lambda: "sk-" + some(40), lambda: some(32, "0123456789abcdef"), lambda: some(40), lambda: some(90)]
+    ahead = ["api_key=", "token: ", 'password = "', "secret=", "Bearer token: ", ""]
+    out = []
+    for i in range(n):
+        before, after = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(30))
+        secret = forms[i % len(forms)]()
+        mark = ahead[rng.randrange(len(ahead))]
+        out.append((f"{before} {mark}{secret} {after}", secret))
+        out.append((f"{before} order {rng.randrange(10**14, 10**15)} {word()}-{word()}-{rng.randrange(2000)} in {word()}_{rng.randrange(10**6)} {after}", None))
+    return out
+
+
+def test_planted_secrets_are_found(spark):
+    """Recall and false finds over secrets of six forms with six kinds of context."""
+    rows = planted(300, 3)
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs(spark, *((i, t) for i, (t, _) in enumerate(rows)))).collect()}
+    found = clean = 0
+    for i, (text, secret) in enumerate(rows):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("secret")]
+        if secret is None:
+            clean += not spans
+        else:
+            found += any(text[a:b] == secret for a, b in spans)
+    assert found >= 0.9 * 300 and clean >= 0.95 * 300, (found, clean)
+
+
 def test_reliabilities_find_the_better_labeler():
     counts = {"++0": 100, "+-0": 10, "--0": 300, "-+0": 5, "000": 50}
     found = pii.reliabilities(counts)
@@ -155,15 +227,22 @@ URLS = ["http://a.example.org/en/12", "https://EXAMPLE.org/es/x?q#f", "http://x.
         "http://notorg/", "http://a.b.c.d.com/de/" + "x" * 5000, "http://x.org/a b\nc", "http://.org/"]
 
 
-@pytest.mark.parametrize("most", [0, 100_000])
-def test_urls(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "lengths"), [(0, 1024), (100_000, 1024), (100_000, 2)])
+def test_urls(spark, monkeypatch, most, lengths):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+    monkeypatch.setattr(url_filter, "LENGTHS", lengths)
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(0, URLS[0], "y"), (None, URLS[1], None)], "page_id long, url string, host string")
     rules = spark.createDataFrame([*queries.URL_RULES, ("block", None, "/")], "verdict string, host string, path string")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(pages, rules).collect())
     assert got == Counter((i, *verdict(u, queries.URL_RULES)) for i, u in [*enumerate(URLS), (0, URLS[0]), (None, URLS[1])])
 
 
+def test_urls_of_very_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "com/de/x"), (2, "http://" + "b/" * 10_000)], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "verdict string, host string, path string")
+    assert {r.page_id: r.rule for r in url_filter.judged(pages, rules).collect()} == {1: "com/de/", 2: None}
+
+
 def test_urls_without_rules_or_pages(spark):
     pages = spark.createDataFrame([(1, URLS[0])], "page_id long, url string")
     rules = spark.createDataFrame(queries.URL_RULES, "verdict string, host string, path string")
@@ -183,6 +262,13 @@ def test_mixing(spark):
     assert all(abs(p.a - 0.75) < 0.15 for p in parts if p.n > 300)
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(7).alias("_times"), F.lit(None).alias("g"))
+    got = mixing.mixed(rows, {"a": 1.0})
+    assert set(got.columns) == {"doc_id", "source", "_times", "g", "copy", "shuffle_key"}
+    assert got.where("_times = 7").count() == got.count() > 0 and got.agg(F.min("copy")).first()[0] == 1
+
+
 def test_mixing_of_large_means_and_odd_tables(spark):
     rows = docs(spark, *((i, "x") for i in range(50)))
     got = mixing.mixed(rows, {"a": 1.0}, size=50 * 90).groupBy("doc_id").count()

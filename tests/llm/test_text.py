@@ -353,8 +353,11 @@ def test_languages_of_odd_rows(spark):
     assert {(i, p) for i, p, _, _ in got if i in (203, 204, 205, None)} >= {(204, "en"), (205, "de"), (None, "en")}
     assert (203, True) in {(i, far) for i, _, _, far in got} and len([1 for i, *_ in got if i == 0]) == 2
     assert langid.identified(table.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        langid.identified(table.where("lang is null")).count()
+    for nothing in (table.where("lang is null"), table.where("not text rlike '[a-zA-Z]'")):  # no language, or no letter, to learn from
+        rows = langid.identified(nothing).collect()
+        assert len(rows) == nothing.count() > 0 and all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in rows)
+    named = table.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r.lang_pred for r in langid.identified(named).where("doc_id = 'd204'").collect()} == {"en"}
 
 
 def cheapest(roles):
