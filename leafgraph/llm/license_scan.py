@@ -1,23 +1,32 @@
 """License scans with MinHash bands over overlapping windows and exact shingle containment. DataFrame functions only.
 
 A template of m shingles belongs to the size class S, the next power of two, and is looked for in windows of 2 S
-shingles, one beginning at every S-th: so any run of m shingles lies in some window whole. A band is one minimum. A
-window that holds 0.8 of a template has a Jaccard similarity of 0.18 or more with it, and then misses all of BANDS
-bands with probability 0.82^64 = 3e-6. A window without a shingle of any template of its class can meet no band, so
-minima are taken only where there is one. Which templates a window retrieves is then checked on full shingle sets.
+shingles, one beginning at every S-th: so any run of m shingles lies in some window whole. A window's bands are the minima
+of one permutation: its hashes are dealt to as many bins as the class has, by their leading bits, and the least of each bin is
+a band. Windows meet templates in a join on class and band; nothing else brings them together.
+
+A window holds at least 0.8 m shingles of a template that it is to retrieve, in bins with 2 S / bins others at most
+on average; the least of a bin is one of them, and the same as the template's, with probability (1 - exp(-x)) / x for x = 2 S /
+bins. :func:`bins` takes as many bins as make the chance that all fail less than MISS. Which templates a window retrieves
+is then checked on full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.session import written
+
 WORDS = 5
 #: Least containment, as a fraction of whole numbers: shared * PART >= total * LEAST.
 LEAST, PART = 4, 5
-BANDS = 64
-#: Template shingles looked for at once; a larger library is scanned in blocks.
-BLOCK = 10_000
+#: Chance at most that a window which holds 0.8 of a template has no band in common with it; and the least bins.
+MISS, LEAST_BINS = 1e-5, 64
+#: Bands of templates up to this many are broadcast (some 50 bytes each); beyond, bands of windows are shuffled to them.
+BROADCAST_BANDS = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Notices as licenses word them.
@@ -53,10 +62,23 @@ def shingles(text: Column) -> Column:
     )
 
 
-def minima(window: Column) -> Column:
-    """BANDS minima of a window, each with its band's number mixed in: equal minima of other bands differ."""
-    least = lambda band: F.xxhash64(F.array_min(F.transform(window, lambda x: F.xxhash64(x, band))), band)
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), least)
+def bins(size: int) -> int:
+    """Bins, a power of two, for the size class: its smallest templates have size / 2 + 1 shingles."""
+    held = math.ceil(LEAST * (size // 2 + 1) / PART)
+    n = LEAST_BINS
+    while True:
+        x = 2 * size / n
+        if (1 - (1 - math.exp(-x)) / x) ** held < MISS:
+            return n
+        n *= 2
+
+
+def bands(window: Column, size: int) -> Column:
+    """The least hash of each bin of a window that has any."""
+    bin_ = lambda x: F.shiftright(x, 64 - bins(size).bit_length() + 1)
+    # in a sorted window these are the first of each run of one bin
+    firsts = lambda x, i, all_: (i == 0) | (bin_(x) != bin_(F.get(all_, i - 1)))
+    return F.element_at(F.transform(F.array(F.sort_array(window)), lambda w: F.filter(w, lambda x, i: firsts(x, i, w))), 1)
 
 
 def classed(templates: DataFrame) -> DataFrame:
@@ -65,14 +87,16 @@ def classed(templates: DataFrame) -> DataFrame:
     return sets.where("total > 0").withColumn("class", F.expr("cast(pow(2, ceil(log2(total))) as int)"))
 
 
-def windows(hashes: Column, size: int, known: list[int]) -> Column:
-    """Structs class, k, window of the windows of a size class that hold a known shingle."""
-    place = F.transform(hashes, lambda x, i: F.when(x.isin(known), i))
-    hits = F.filter(place, lambda i: i.isNotNull())
-    ks = F.flatten(F.transform(hits, lambda i: F.array(F.floor(i / size).cast("int"), F.floor(i / size).cast("int") - 1)))
-    ks = F.filter(F.array_distinct(ks), lambda k: k >= 0)
-    cut = lambda k: F.array_distinct(F.slice(hashes, k * size + 1, F.lit(2 * size)))
-    return F.transform(ks, lambda k: F.struct(F.lit(size).alias("class"), k.alias("k"), cut(k).alias("window")))
+def window(hashes: Column, size: int | Column, k: Column) -> Column:
+    """The k-th window of a size class."""
+    return F.slice(hashes, k * size + 1, F.lit(2) * size)
+
+
+def windows(hashes: Column, size: int) -> Column:
+    """Structs class, k, bands of all windows of a size class; the last begins S or less before the end is covered."""
+    last = F.greatest(F.ceil(F.size(hashes) / size).cast("int") - 2, F.lit(0))
+    struct = lambda k: F.struct(F.lit(size).alias("class"), k.alias("k"), bands(window(hashes, size, k), size).alias("bands"))
+    return F.transform(F.sequence(F.lit(0), last), struct)
 
 
 def scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -80,44 +104,33 @@ def scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
     how many of them the best window holds; 0.8 of them at least), first_word (of the first best window, from 0).
 
     ``docs``: doc_id, text; ``templates``: license, text. Null texts and ones below WORDS words have no license; nor
-    can such templates be found, which raises ValueError. Rows repeated with one doc_id are one document. Templates
-    repeated with one name are alternatives. Other columns are not looked at.
+    can such templates be found, which raises ValueError (null ones are left out). Rows repeated with one doc_id are one
+    document. Templates repeated with one name are alternatives. Empty tables give no rows. Other columns are not looked at.
     """
-    sets = classed(templates).cache()
-    try:
-        if sets.count() < templates.where("text is not null").count():
-            raise ValueError(f"a template has fewer than {WORDS} words")
-        rows = [r.asDict() for r in sets.select("license", "shingles", "total", "class").toLocalIterator()]
-    finally:
-        sets.unpersist()
-    blocks: list[list[dict]] = [[]]
-    for row in rows:
-        if blocks[-1] and sum(r["total"] for r in blocks[-1]) + row["total"] > BLOCK:
-            blocks.append([])
-        blocks[-1].append(row)
-    parts = [_found(docs, block) for block in blocks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    sets = written(classed(templates), "templates")
+    if sets.count() < templates.where("text is not null").count():
+        raise ValueError(f"a template has fewer than {WORDS} words")
+    sizes = sorted(r[0] for r in sets.select("class").distinct().collect())  # powers of two: a few dozen at most
+    least = F.expr("cast(array() as array<bigint>)")
+    for size in sizes:
+        least = F.when(F.col("class") == size, bands(F.col("shingles"), size)).otherwise(least)
+    keys = sets.select(F.col("class").alias("of"), "license", "shingles", "total", F.explode(least).alias("least"))
+    hashed = docs.select("doc_id", shingles(F.col("text")).alias("h"))
+    none = F.expr("cast(array() as array<struct<class:int,k:int,bands:array<bigint>>>)")
+    held = hashed.select("doc_id", "h", F.explode_outer(F.concat(*[windows(F.col("h"), s) for s in sizes]) if sizes else none).alias("w"))
+    signed = held.select("doc_id", "h", F.col("w.class").alias("class"), F.col("w.k").alias("k"), F.explode_outer("w.bands").alias("band"))
+    key = (F.col("band") == F.col("least")) & (F.col("class") == F.col("of"))
+    if keys.count() <= BROADCAST_BANDS:
+        near = signed.join(F.broadcast(keys), key)
+    else:  # only bands are shuffled; the few windows that meet a template fetch their shingles after that
+        places = signed.drop("h").join(keys.select("of", "license", "total", "least").hint("merge"), key)
+        places = places.select("doc_id", "class", "k", "license", "total").distinct()
+        near = hashed.join(places, "doc_id").join(sets.select("license", "total", "shingles", F.col("class").alias("of")), ["license", "total"]).where("class = of")
+    shared = F.size(F.array_intersect(F.array_distinct(window(F.col("h"), F.col("class"), F.col("k"))), F.col("shingles")))
+    found = near.select(
+        "doc_id", "license", shared.cast("long").alias("shared"), F.col("total").cast("long").alias("total"), (F.col("k") * F.col("class")).cast("long").alias("first_word")
+    ).where(F.col("shared") * PART >= F.col("total") * LEAST)
     best = F.max(F.struct("shared", (-F.col("first_word")).alias("behind"), (-F.col("total")).alias("less"))).alias("best")
-    return out.groupBy("doc_id", "license").agg(best).select(
+    return found.groupBy("doc_id", "license").agg(best).select(
         "doc_id", "license", F.col("best.shared").alias("shared"), (-F.col("best.less")).alias("total"), (-F.col("best.behind")).alias("first_word")
     )
-
-
-def _found(docs: DataFrame, block: list[dict]) -> DataFrame:
-    """Verified (doc_id, license, shared, total, first_word) for templates of at most BLOCK shingles, or one longer one."""
-    spark = docs.sparkSession
-    schema = "license string, shingles array<bigint>, total int, class int"
-    sets = spark.createDataFrame([(r["license"], r["shingles"], r["total"], r["class"]) for r in block], schema)
-    bands = sets.select("license", "shingles", "total", F.col("class").alias("of"), F.explode(minima(F.col("shingles"))).alias("least"))
-    sizes = sorted({r["class"] for r in block})
-    known = {s: sorted({x for r in block if r["class"] == s for x in r["shingles"]}) for s in sizes}
-    hashed = docs.select("doc_id", shingles(F.col("text")).alias("h"))
-    held = hashed.select("doc_id", F.explode(F.concat(*[windows(F.col("h"), s, known[s]) for s in sizes]) if sizes else F.expr("cast(array() as array<struct<class:int,k:int,window:array<bigint>>>)")).alias("w"))
-    signed = held.select("doc_id", "w", F.explode(minima(F.col("w.window"))).alias("min"))
-    met = signed.join(F.broadcast(bands), (F.col("min") == F.col("least")) & (F.col("w.class") == F.col("of")))
-    shared = F.size(F.array_intersect(F.col("w.window"), F.col("shingles")))
-    return met.select(
-        "doc_id", "license", shared.cast("long").alias("shared"), F.col("total").cast("long").alias("total"), (F.col("w.k") * F.col("w.class")).cast("long").alias("first_word")
-    ).where(F.col("shared") * PART >= F.col("total") * LEAST)
