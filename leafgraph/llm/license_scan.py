@@ -1,14 +1,16 @@
 """License scans with MinHash bands over overlapping windows and exact shingle containment. DataFrame functions only.
 
-A template of m shingles belongs to the size class S, the next power of two, and is looked for in windows of 2 S
-shingles, one beginning at every S-th: so any run of m shingles lies in some window whole. A window's bands are the minima
-of one permutation: its hashes are dealt to as many bins as the class has, by their leading bits, and the least of each bin is
-a band. Windows meet templates in a join on class and band; nothing else brings them together.
-
-A window holds at least 0.8 m shingles of a template that it is to retrieve, in bins with 2 S / bins others at most
-on average; the least of a bin is one of them, and the same as the template's, with probability (1 - exp(-x)) / x for x = 2 S /
-bins. :func:`bins` takes as many bins as make the chance that all fail less than MISS. Which templates a window retrieves
-is then checked on full shingle sets.
+A template of m shingles belongs to the size class S, the next power of two: it is found where one of the windows of 2 S
+shingles that begin at every S-th holds 0.8 of it; any run of m shingles lies in such a window whole. The windows that
+retrieve are wider, so that few classes do for all templates: 4 N shingles, the next beginning 3 N on, N the next of NETS
+from 2 S on; each window of a template's own class lies in one of these whole.
+
+A window's bands are the minima of one permutation: its hashes are dealt to as many bins as N has, by their leading
+bits, and the least of each bin is a band. Windows meet templates in a join on N and band; nothing else brings them
+together. A window holds at least 0.8 m shingles of a template that it is to retrieve, in bins with 4 N / bins others on
+average at most; the least of a bin is one of them, and the same as the template's, with probability (1 - exp(-x)) / x for x = 4 N /
+bins. :func:`bins` takes as many bins as make the chance that all fail less than MISS. What a window retrieves is then
+checked on full shingle sets, in the windows of the template's own class.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.llm.licenses import TEMPLATES  # noqa: F401  (part of this module's interface)
 from leafgraph.session import written
 
 WORDS = 5
@@ -28,24 +31,8 @@ MISS, LEAST_BINS = 1e-5, 64
 #: Bands of templates up to this many are broadcast (some 50 bytes each); beyond, bands of windows are shuffled to them.
 BROADCAST_BANDS = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-#: Notices as licenses word them.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT (permission)": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-    'associated documentation files (the "Software"), to deal in the Software without restriction, including without '
-    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-    "Software, and to permit persons to whom the Software is furnished to do so",
-    "Apache-2.0 (header)": "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-    "http://www.apache.org/licenses/LICENSE-2.0",
-    "GPL (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-    "Public License as published by the Free Software Foundation",
-    "BSD (conditions)": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-    "that the following conditions are met",
-}
+#: Sizes N of the windows that retrieve; the smallest takes all templates of half of it or less, a larger one those above an eighth.
+NETS = [16 * 4**k for k in range(10)]
 
 
 def shingles(text: Column) -> Column:
@@ -62,40 +49,38 @@ def shingles(text: Column) -> Column:
     )
 
 
-def bins(size: int) -> int:
-    """Bins, a power of two, for the size class: its smallest templates have size / 2 + 1 shingles."""
-    held = math.ceil(LEAST * (size // 2 + 1) / PART)
+def bins(net: int) -> int:
+    """Bins, a power of two, for windows of 4 ``net`` shingles."""
+    held = math.ceil(LEAST * (net // 8 + 1) / PART) if net > NETS[0] else 1
     n = LEAST_BINS
     while True:
-        x = 2 * size / n
-        if (1 - (1 - math.exp(-x)) / x) ** held < MISS:
+        x = 4 * net / n
+        if (1 + math.expm1(-x) / x) ** held < MISS:
             return n
         n *= 2
 
 
-def bands(window: Column, size: int) -> Column:
+def bands(window: Column, net: int) -> Column:
     """The least hash of each bin of a window that has any."""
-    bin_ = lambda x: F.shiftright(x, 64 - bins(size).bit_length() + 1)
+    bin_ = lambda x: F.shiftright(x, 64 - bins(net).bit_length() + 1)
     # in a sorted window these are the first of each run of one bin
     firsts = lambda x, i, all_: (i == 0) | (bin_(x) != bin_(F.get(all_, i - 1)))
     return F.element_at(F.transform(F.array(F.sort_array(window)), lambda w: F.filter(w, lambda x, i: firsts(x, i, w))), 1)
 
 
 def classed(templates: DataFrame) -> DataFrame:
-    """license, shingles (distinct), total, class of each template."""
+    """license, shingles (distinct), total, class and net of each template."""
     sets = templates.select("license", F.array_distinct(shingles(F.col("text"))).alias("shingles")).withColumn("total", F.size("shingles"))
-    return sets.where("total > 0").withColumn("class", F.expr("cast(pow(2, ceil(log2(total))) as int)"))
-
-
-def window(hashes: Column, size: int | Column, k: Column) -> Column:
-    """The k-th window of a size class."""
-    return F.slice(hashes, k * size + 1, F.lit(2) * size)
+    return sets.where("total > 0").withColumn("class", F.expr("cast(pow(2, ceil(log2(total))) as int)")).withColumn(
+        "net", F.array_min(F.filter(F.array(*map(F.lit, NETS)), lambda n: n >= 2 * F.col("class")))
+    )
 
 
-def windows(hashes: Column, size: int) -> Column:
-    """Structs class, k, bands of all windows of a size class; the last begins S or less before the end is covered."""
-    last = F.greatest(F.ceil(F.size(hashes) / size).cast("int") - 2, F.lit(0))
-    struct = lambda k: F.struct(F.lit(size).alias("class"), k.alias("k"), bands(window(hashes, size, k), size).alias("bands"))
+def windows(hashes: Column, net: int) -> Column:
+    """Structs net, k, bands of all windows of 4 ``net`` shingles; the last one is the first that reaches the end."""
+    last = F.greatest(F.ceil((F.size(hashes) - 4 * net) / (3 * net)).cast("int"), F.lit(0))
+    cut = lambda k: F.slice(hashes, 3 * net * k + 1, F.lit(4 * net))
+    struct = lambda k: F.struct(F.lit(net).alias("net"), k.alias("k"), bands(cut(k), net).alias("bands"))
     return F.transform(F.sequence(F.lit(0), last), struct)
 
 
@@ -110,25 +95,30 @@ def scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
     sets = written(classed(templates), "templates")
     if sets.count() < templates.where("text is not null").count():
         raise ValueError(f"a template has fewer than {WORDS} words")
-    sizes = sorted(r[0] for r in sets.select("class").distinct().collect())  # powers of two: a few dozen at most
+    nets = sorted(r[0] for r in sets.select("net").distinct().collect())  # as many as NETS at most
     least = F.expr("cast(array() as array<bigint>)")
-    for size in sizes:
-        least = F.when(F.col("class") == size, bands(F.col("shingles"), size)).otherwise(least)
-    keys = sets.select(F.col("class").alias("of"), "license", "shingles", "total", F.explode(least).alias("least"))
+    for net in nets:
+        least = F.when(F.col("net") == net, bands(F.col("shingles"), net)).otherwise(least)
+    keys = sets.withColumn("least", F.explode(least)).withColumnRenamed("net", "of")
     hashed = docs.select("doc_id", shingles(F.col("text")).alias("h"))
-    none = F.expr("cast(array() as array<struct<class:int,k:int,bands:array<bigint>>>)")
-    held = hashed.select("doc_id", "h", F.explode_outer(F.concat(*[windows(F.col("h"), s) for s in sizes]) if sizes else none).alias("w"))
-    signed = held.select("doc_id", "h", F.col("w.class").alias("class"), F.col("w.k").alias("k"), F.explode_outer("w.bands").alias("band"))
-    key = (F.col("band") == F.col("least")) & (F.col("class") == F.col("of"))
+    none = F.expr("cast(array() as array<struct<net:int,k:int,bands:array<bigint>>>)")
+    held = hashed.select("doc_id", "h", F.explode_outer(F.concat(*[windows(F.col("h"), net) for net in nets]) if nets else none).alias("w"))
+    signed = held.select("doc_id", "h", F.col("w.net").alias("net"), F.col("w.k").alias("k"), F.explode_outer("w.bands").alias("band"))
+    key = (F.col("band") == F.col("least")) & (F.col("net") == F.col("of"))
     if keys.count() <= BROADCAST_BANDS:
         near = signed.join(F.broadcast(keys), key)
     else:  # only bands are shuffled; the few windows that meet a template fetch their shingles after that
-        places = signed.drop("h").join(keys.select("of", "license", "total", "least").hint("merge"), key)
-        places = places.select("doc_id", "class", "k", "license", "total").distinct()
-        near = hashed.join(places, "doc_id").join(sets.select("license", "total", "shingles", F.col("class").alias("of")), ["license", "total"]).where("class = of")
-    shared = F.size(F.array_intersect(F.array_distinct(window(F.col("h"), F.col("class"), F.col("k"))), F.col("shingles")))
-    found = near.select(
-        "doc_id", "license", shared.cast("long").alias("shared"), F.col("total").cast("long").alias("total"), (F.col("k") * F.col("class")).cast("long").alias("first_word")
+        places = signed.drop("h").join(keys.select("of", "license", "total", "class", "least").hint("merge"), key)
+        places = places.select("doc_id", "net", "k", "license", "total", "class").distinct()
+        near = hashed.join(places, "doc_id").join(sets.drop("net"), ["license", "total", "class"])
+    # the template's own windows in the one that retrieved it, best first, then by place
+    per = F.floor(F.col("net") / F.col("class")).cast("int")
+    own = F.sequence(3 * F.col("k") * per, 3 * F.col("k") * per + 4 * per - 2)
+    cut = lambda k: F.slice(F.col("h"), k * F.col("class") + 1, 2 * F.col("class"))
+    shared = lambda k: F.size(F.array_intersect(F.array_distinct(cut(k)), F.col("shingles")))
+    best = F.array_max(F.transform(own, lambda k: F.struct(shared(k).cast("long").alias("shared"), (-k).cast("long").alias("behind"))))
+    found = near.select("doc_id", "license", "class", F.col("total").cast("long").alias("total"), best.alias("best")).select(
+        "doc_id", "license", "total", F.col("best.shared").alias("shared"), (-F.col("best.behind") * F.col("class")).alias("first_word")
     ).where(F.col("shared") * PART >= F.col("total") * LEAST)
     best = F.max(F.struct("shared", (-F.col("first_word")).alias("behind"), (-F.col("total")).alias("less"))).alias("best")
     return found.groupBy("doc_id", "license").agg(best).select(

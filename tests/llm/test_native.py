@@ -206,11 +206,31 @@ def test_licenses(spark):
         license_scan.scanned(docs(spark, *rows), spark.createDataFrame([("a", "too short")], "license string, text string"))
 
 
-def test_license_library_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(license_scan, "BLOCK", 5)
-    templates = spark.createDataFrame(list(license_scan.TEMPLATES.items()), "license string, text string")
-    rows = docs(spark, *enumerate(license_scan.TEMPLATES.values()))
-    assert license_scan.scanned(rows, templates).where("shared = total").count() == len(license_scan.TEMPLATES)
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_license_library(spark, monkeypatch, most):
+    monkeypatch.setattr(license_scan, "BROADCAST_BANDS", most)
+    templates = spark.createDataFrame([*license_scan.TEMPLATES.items(), ("none", None)], "license string, text string")
+    rows = docs(spark, *enumerate("x " * i + t for i, t in enumerate(license_scan.TEMPLATES.values())))
+    got = license_scan.scanned(rows, templates).where("shared = total").collect()
+    assert {(r.doc_id, r.license) for r in got} >= set(enumerate(license_scan.TEMPLATES))
+    assert license_scan.scanned(rows.limit(0), templates).count() == 0 and license_scan.scanned(rows, templates.limit(0)).count() == 0
+
+
+def test_bands_retrieve_by_themselves(spark):
+    """Texts that hold 0.8 of a template share a band with it in some window of its class."""
+    rng = random.Random(2)
+    sets = {r.license: r for r in license_scan.classed(spark.createDataFrame(list(license_scan.TEMPLATES.items()), "license string, text string")).collect()}
+    rows = []
+    for name, r in sets.items():
+        for _ in range(12):
+            part = [x if i >= r.total // 5 else rng.getrandbits(62) for i, x in enumerate(r.shingles)]
+            at = rng.randrange(2000)
+            rows.append((name, r.net, [rng.getrandbits(63) - 2**62 for _ in range(at)] + part + [rng.getrandbits(62) for _ in range(3000)]))
+    df = spark.createDataFrame(rows, "license string, net int, h array<bigint>")
+    for net in {r.net for r in sets.values()}:
+        keys = {x.license: set(x.b) for x in spark.createDataFrame([(k, r.shingles) for k, r in sets.items() if r.net == net], "license string, s array<bigint>").select("license", license_scan.bands(F.col("s"), net).alias("b")).collect()}
+        got = df.where(F.col("net") == net).select("license", F.flatten(F.transform(license_scan.windows(F.col("h"), net), lambda w: w["bands"])).alias("b")).collect()
+        assert len(got) >= 12 and all(keys[x.license] & set(x.b) for x in got)
 
 
 def verdict(url, rules, default="allow"):
