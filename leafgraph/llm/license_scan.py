@@ -28,8 +28,8 @@ WORDS = 5
 LEAST, PART = 4, 5
 #: Chance at most that a window which holds 0.8 of a template has no band in common with it; and the least bins.
 MISS, LEAST_BINS = 1e-5, 64
-#: Bands of templates up to this many are broadcast (some 50 bytes each); beyond, bands of windows are shuffled to them.
-BROADCAST_BANDS = 200_000
+#: Bands of templates up to this many go to the tasks as a set; beyond, bands of windows are shuffled to them.
+LISTED_BANDS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Sizes N of the windows that retrieve; the smallest takes all templates of half of it or less, a larger one those above an eighth.
 NETS = [16 * 4**k for k in range(10)]
@@ -76,12 +76,14 @@ def classed(templates: DataFrame) -> DataFrame:
     )
 
 
-def windows(hashes: Column, net: int) -> Column:
-    """Structs net, k, bands of all windows of 4 ``net`` shingles; the last one is the first that reaches the end."""
+def windows(hashes: Column, net: int, known: list[int] | None = None) -> Column:
+    """Structs net, k, bands of all windows of 4 ``net`` shingles; the last one is the first that reaches the end. ``known``: the
+    bands of templates, where they are few; then only these bands of windows, and only windows that have any."""
     last = F.greatest(F.ceil((F.size(hashes) - 4 * net) / (3 * net)).cast("int"), F.lit(0))
-    cut = lambda k: F.slice(hashes, 3 * net * k + 1, F.lit(4 * net))
-    struct = lambda k: F.struct(F.lit(net).alias("net"), k.alias("k"), bands(cut(k), net).alias("bands"))
-    return F.transform(F.sequence(F.lit(0), last), struct)
+    cut = lambda k: bands(F.slice(hashes, 3 * net * k + 1, F.lit(4 * net)), net)
+    met = lambda k: cut(k) if known is None else F.filter(cut(k), lambda band: band.isin(known))
+    found = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.lit(net).alias("net"), k.alias("k"), met(k).alias("bands")))
+    return found if known is None else F.filter(found, lambda w: F.size(w["bands"]) > 0)
 
 
 def scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -100,17 +102,21 @@ def scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
     for net in nets:
         least = F.when(F.col("net") == net, bands(F.col("shingles"), net)).otherwise(least)
     keys = sets.withColumn("least", F.explode(least)).withColumnRenamed("net", "of")
+    listed = keys.count() <= LISTED_BANDS
+    known = {net: [r[0] for r in keys.where(F.col("of") == net).select("least").distinct().collect()] if listed else None for net in nets}
     hashed = docs.select("doc_id", shingles(F.col("text")).alias("h"))
     none = F.expr("cast(array() as array<struct<net:int,k:int,bands:array<bigint>>>)")
-    held = hashed.select("doc_id", "h", F.explode_outer(F.concat(*[windows(F.col("h"), net) for net in nets]) if nets else none).alias("w"))
-    signed = held.select("doc_id", "h", F.col("w.net").alias("net"), F.col("w.k").alias("k"), F.explode_outer("w.bands").alias("band"))
+    retrieved = F.concat(*[windows(F.col("h"), net, known[net]) for net in nets]) if nets else none
     key = (F.col("band") == F.col("least")) & (F.col("net") == F.col("of"))
-    if keys.count() <= BROADCAST_BANDS:
+    carried = ["doc_id", "h"] if listed else ["doc_id"]
+    held = hashed.select(*carried, F.explode_outer(retrieved).alias("w"))  # outer: the plan tests the array for rows otherwise, at its full price
+    signed = held.select(*carried, F.col("w.net").alias("net"), F.col("w.k").alias("k"), F.explode_outer("w.bands").alias("band"))
+    if listed:
         near = signed.join(F.broadcast(keys), key)
-    else:  # only bands are shuffled; the few windows that meet a template fetch their shingles after that
-        places = signed.drop("h").join(keys.select("of", "license", "total", "class", "least").hint("merge"), key)
-        places = places.select("doc_id", "net", "k", "license", "total", "class").distinct()
-        near = hashed.join(places, "doc_id").join(sets.drop("net"), ["license", "total", "class"])
+    else:  # the few windows that meet a template fetch their shingles after that
+        places = signed.join(keys.select("of", "license", "total", "class", "least").hint("merge"), key)
+        places = places.select(F.col("doc_id").alias("id"), "net", "k", "license", "total", "class").distinct()
+        near = hashed.join(places, F.col("doc_id").eqNullSafe(F.col("id"))).join(sets.drop("net"), ["license", "total", "class"])
     # the template's own windows in the one that retrieved it, best first, then by place
     per = F.floor(F.col("net") / F.col("class")).cast("int")
     own = F.sequence(3 * F.col("k") * per, 3 * F.col("k") * per + 4 * per - 2)
