@@ -33,9 +33,15 @@ def numbered(items: DataFrame, base: str, order: str, existing: DataFrame) -> Da
 
 
 def natural_key(path: Column) -> Column:
-    """Orders as people do: case aside, and numbers by value (f2 before f10)."""
+    """Orders as people do: case aside, and numbers by value (f2 before f10), however long."""
     runs = F.regexp_extract_all(F.lower(path), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, 20, "0")).otherwise(r)), "")
+
+    def number(r: Column) -> Column:
+        value = F.regexp_replace(r, "^0+(?=.)", "")  # over 20 digits: after all shorter ones, by length
+        long = F.concat(F.lit(":"), F.lpad(F.length(value).cast("string"), 10, "0"), value)
+        return F.when(F.length(value) > 20, long).otherwise(F.lpad(value, 20, "0"))
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(r)), "")
 
 
 def first_seen(paths: DataFrame, path: str, order: list[str]) -> DataFrame:

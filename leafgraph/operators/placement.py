@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.operators import folds
+
 POINTS = 72
 #: Inches below which a placement draws nothing.
 NOTHING = 1e-4
@@ -72,7 +74,8 @@ def downsampled(width: Column, height: Column, dpi: Column, most: Column) -> Col
 
 def folded_scale(operators: Column) -> Column:
     """Struct scale and depth after a content stream's operators (array of strings in order): ``q`` saves, ``Q`` restores
-    (nothing where there is nothing to restore), a number scales. depth is the deepest nesting."""
+    (nothing where there is nothing to restore), a number scales. depth is the deepest nesting. For short arrays;
+    :func:`folded_scales` takes streams of any length."""
 
     def step(s: Column, op: Column) -> Column:
         n = F.size(s["stack"])
@@ -83,3 +86,21 @@ def folded_scale(operators: Column) -> Column:
 
     start = F.struct(F.lit(1).cast("long").alias("scale"), F.expr("cast(array() as array<bigint>)").alias("stack"), F.lit(0).alias("depth"))
     return F.aggregate(operators, start, step, lambda s: F.struct(s["scale"], s["depth"]))
+
+
+def folded_scales(operators: DataFrame, stream: str, order: list[str], op: str) -> DataFrame:
+    """(stream, scale, depth) as :func:`folded_scale` has it, of streams whose operators are a row each. The state of a stream
+    is its stack."""
+
+    def step(state: tuple, row: list) -> tuple:
+        scale, saved, depth = state  # saved: the scale to restore, what was saved before it, how many
+        if row[0] == "q":
+            n = saved[2] + 1 if saved else 1
+            return scale, (scale, saved, n), max(depth, n)
+        if row[0] == "Q":
+            return (saved[0], saved[1], depth) if saved else state
+        return scale * int(row[0]), saved, depth
+
+    kind = operators.schema[stream].dataType.simpleString()
+    rows = operators.select(F.col(op).alias("op"), stream, *[c for c in order if c != stream])
+    return folds.folded(rows, stream, order, (1, None, 0), step, f"{stream} {kind}, scale long, depth int", last=lambda s: (s[0], s[2]))

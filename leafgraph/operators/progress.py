@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafgraph.operators import folds
+
 #: Seconds of projected run time from which an estimate is shown, and for how long it must have looked so.
 THRESHOLD, STEADY = 10.0, 2.0
 #: Nanoseconds a byte or an object.
@@ -18,7 +22,8 @@ def running(fraction: Column, by: list[str], order: list[str]) -> Column:
 
 
 def throttled(times: Column, gap: int) -> Column:
-    """Of sorted times those reported: the first, then each that is ``gap`` or more after the last reported one."""
+    """Of sorted times those reported: the first, then each that is ``gap`` or more after the last reported one; for short
+    arrays. :func:`reported` takes any number of times."""
 
     def step(out: Column, t: Column) -> Column:
         due = (F.size(out) == 0) | (t - F.element_at(F.concat(F.array(t), out), -1) >= gap)
@@ -27,32 +32,65 @@ def throttled(times: Column, gap: int) -> Column:
     return F.aggregate(times, F.expr("cast(array() as array<bigint>)"), step)
 
 
+#: Samples before so many seconds, or with no more than such a fraction, say too little.
+EARLY, LITTLE = 1.0, 0.01
+#: Seconds in which the weight of what was projected before falls to 1/e.
+MEMORY = 2.0
+
+
+def projection(before: tuple, t: float, fraction: float, threshold: float = THRESHOLD) -> tuple:
+    """The state (end, at, since, left) after a sample at ``t`` seconds. ``end`` is when the run is projected to end: the
+    samples' t / fraction, smoothed exponentially in time; a finished run's is not smoothed. ``since``: from when on ``end`` has
+    been beyond the threshold. ``left``: seconds to ``end``, None until it has been so for STEADY seconds once."""
+    end, at, since, left = before
+    if t < EARLY or fraction <= LITTLE:
+        return before
+    old = 0.0 if end is None or fraction >= 1 else math.exp(min(0.0, at - t) / MEMORY)
+    end = t / min(fraction, 1.0) * (1 - old) + (end * old if old else 0.0)
+    since = None if end <= threshold else t if since is None else since
+    if left is not None or since is not None and since + STEADY <= t:
+        left = max(end - t, 0.0)
+    return end, t, since, left
+
+
 def time_left(samples: Column, threshold: float = THRESHOLD) -> Column:
-    """Seconds left after samples (array of structs t: seconds since the start, fraction; sorted by t), or null while none is
-    shown. The estimate is smoothed over two seconds and, once shown, stays."""
+    """What :func:`projection` says is left after samples (array of structs t: seconds since the start, fraction; sorted by t);
+    for short arrays. :func:`times_left` takes any number of samples."""
     null = F.lit(None).cast("double")
-    start = F.struct(null.alias("smoothed"), null.alias("updated"), null.alias("long"), null.alias("left"))
+    start = F.struct(null.alias("end"), null.alias("at"), null.alias("since"), null.alias("left"))
 
     def step(s: Column, x: Column) -> Column:
-        t, f = x["t"], F.least(x["fraction"], F.lit(1.0))
-        left = t * (1 - f) / f
-        gap = F.greatest(F.lit(0.0), t - s["updated"])
-        counted = s["smoothed"] - gap
-        smooth = (f < 1) & s["smoothed"].isNotNull()
-        estimate = F.when(smooth, counted + (left - counted) * (1 - F.exp(-gap / 2))).otherwise(left)
-
-        def then(e: Column) -> Column:
-            long = F.when(t + e > threshold, F.coalesce(s["long"], t))
-            shown = s["left"].isNotNull() | F.coalesce(t - long >= STEADY, F.lit(False))
-            return F.struct(e.alias("smoothed"), t.alias("updated"), long.alias("long"), F.when(shown, F.greatest(F.lit(0.0), e)).alias("left"))
-
-        # the array binds the estimate, which is used three times, to a name
-        moved = F.element_at(F.transform(F.array(estimate), then), 1)
-        return F.when((x["fraction"] > 0.01) & (t >= 1), moved).otherwise(s)
+        t, share = x["t"], F.least(x["fraction"], F.lit(1.0))
+        old = F.when((share < 1) & s["end"].isNotNull(), F.exp(F.least(F.lit(0.0), s["at"] - t) / MEMORY)).otherwise(0.0)
+        blend = t / share * (1 - old) + F.coalesce(s["end"], F.lit(0.0)) * old
+
+        def then(end: Column) -> Column:
+            since = F.when(end > threshold, F.coalesce(s["since"], t))
+            shown = s["left"].isNotNull() | F.coalesce(since + STEADY <= t, F.lit(False))
+            return F.struct(end.alias("end"), t.alias("at"), since.alias("since"), F.when(shown, F.greatest(end - t, F.lit(0.0))).alias("left"))
+
+        # the array binds the end, which is used three times, to a name
+        moved = F.element_at(F.transform(F.array(blend), then), 1)
+        return F.when((t >= EARLY) & (x["fraction"] > LITTLE), moved).otherwise(s)
 
     return F.aggregate(samples, start, step, lambda s: s["left"])
 
 
+def times_left(samples: DataFrame, run: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(run, left) of runs of any number of samples (run, t: seconds since the run's start, fraction)."""
+    kind = samples.schema[run].dataType.simpleString()
+    return folds.folded(
+        samples.select(run, "t", "fraction"), run, ["t", "fraction"], (None,) * 4, lambda s, x: projection(s, x[0], x[1], threshold), f"{run} {kind}, left double", last=lambda s: (s[3],)
+    )
+
+
+def reported(times: DataFrame, key: str, time: str, gap: int) -> DataFrame:
+    """The rows (key, time) that are reported of each key's times: see :func:`throttled`, for any number of them."""
+    kind = times.schema[key].dataType.simpleString()
+    due = lambda last, x: x[0] if last is None or x[0] - last >= gap else last
+    return folds.folded(times.select(key, time), key, [time], None, due, f"{key} {kind}, {time} long", each=lambda old, new, x: (x[0],) if new is not old else None)
+
+
 def weighted(weight: Column, status: Column, progress: Column) -> Column:
     """Progress of a batch (aggregate): finished items count whole, the one at work by its progress, others nothing."""
     w = F.greatest(weight, F.lit(1).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leafgraph.operators import dedup, naming, profiles, progress
+from leafgraph.operators import dedup, folds, naming, profiles, progress
 from leafgraph.plans.base import cents, table
 
 SQL: dict[str, str] = {}
@@ -33,16 +33,18 @@ SELECT o_custkey, floor(sum(CASE s WHEN 'F' THEN w WHEN 'P' THEN w * 0.5::DOUBLE
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, samples: a user's events as progress samples, a day as a second."""
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double")
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(seconds.alias("s"), "event_id"))).alias("e"))
-    sample = lambda x, i: F.struct(((x["s"] - F.col("e")[0]["s"]) / 86400.0).alias("t"), ((i + 1) / F.size("e") * 0.9).alias("fraction"))
-    return rows.select("user_id", F.transform("e", sample).alias("samples"))
+    """user_id, t, fraction: a user's events as progress samples, a day as a second."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double").alias("s"))
+    facts = rows.groupBy("user_id").agg(F.min("s").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = rows.join(facts, "user_id").select("user_id", "s", "event_id", "first", "n")
+    return folds.folded(
+        placed, "user_id", ["s", "event_id"], 0, lambda k, x: k + 1, "user_id long, t double, fraction double", each=lambda _, k, x: ((x[0] - x[2]) / 86400.0, k / x[3] * 0.9)
+    )
 
 
 def q43_time_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = progress.time_left(F.col("samples"))
-    return _samples(spark, sf_dir).select("user_id", F.floor(left * 1000 + 0.5).alias("left"))
+    found = progress.times_left(_samples(spark, sf_dir), "user_id")
+    return found.select("user_id", F.floor(F.col("left") * 1000 + 0.5).alias("left"))
 
 
 SQL["q43_time_estimate"] = """
@@ -63,8 +65,7 @@ SIX_HOURS = 6 * 3600 * 1_000_000
 
 def q44_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(micros)).alias("t"))
-    return rows.select("user_id", F.explode(progress.throttled(F.col("t"), SIX_HOURS)).alias("reported"))
+    return progress.reported(table(spark, sf_dir, "events").select("user_id", micros.alias("reported")), "user_id", "reported", SIX_HOURS)
 
 
 SQL["q44_throttle"] = f"""
@@ -157,7 +158,7 @@ def q50_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.lit(True)).alias("grayscale"),
         F.when(k % 5 == 0, k + 50).alias("max_resolution"),
     ))
-    rows = table(spark, sf_dir, "events").where("event_id in (2, 4, 5, 99)").select(profiles.parsed(stored).alias("p")).select("p.*")
+    rows = table(spark, sf_dir, "events").select(profiles.parsed(stored).alias("p")).select("p.*")
     found = profiles.effective(profiles.built_in(spark), rows)
     return found.select("id", "name", profiles.percent(F.col("image_quality")).alias("quality"), profiles.summary({c: F.col(c) for c in found.columns}).alias("summary"))
 
@@ -165,7 +166,7 @@ def q50_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["q50_profiles"] = """
 WITH b(id, name, compress, q, r, meta) AS (VALUES (1, 'Lossless', false, 1.0, NULL, false), (2, 'Low', true, 0.8, 300, false), (3, 'Medium', true, 0.6, 150, false),
   (4, 'High', true, 0.4, 110, true), (5, 'Maximum', true, 0.2, 72, true)),
-o AS (SELECT event_id AS id, (props->>'$.k')::INT AS k FROM events WHERE event_id IN (2, 4, 5)),
+o AS (SELECT event_id AS id, (props->>'$.k')::INT AS k FROM events),
 e AS (SELECT b.id, CASE WHEN k IS NULL THEN name ELSE 'Own ' || k END AS name, k IS NOT NULL OR compress AS compress,
   CASE WHEN k IS NULL THEN q WHEN k % 2 = 0 THEN k / 100.0 ELSE 0.6 END::DOUBLE AS q, CASE WHEN k IS NULL THEN r WHEN k % 5 = 0 THEN k + 50 END AS r,
   k IS NOT NULL AND k % 3 = 0 AS gray, k IS NULL AND meta AS meta FROM b LEFT JOIN o USING (id))

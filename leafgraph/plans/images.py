@@ -281,8 +281,7 @@ SELECT l_orderkey, name, CASE WHEN pays THEN nw END AS nw, CASE WHEN pays THEN n
 
 def q38_ctm_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.get(F.array(F.lit("q"), F.lit("2"), F.lit("3"), F.lit("Q")), ((F.col("turn") + F.col("conv_id")) % 4).cast("int"))
-    streams = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", op.alias("op")))).alias("ops"))
-    return streams.withColumn("end", placement.folded_scale(F.col("ops.op"))).select("conv_id", F.col("end.scale").alias("scale"), F.col("end.depth").alias("depth"))
+    return placement.folded_scales(table(spark, sf_dir, "conversations").select("conv_id", "turn", op.alias("op")), "conv_id", ["turn"], "op")
 
 
 SQL["q38_ctm_fold"] = """

@@ -6,7 +6,6 @@ from trigger to trigger; within a trigger they are sorted. (The batch forms read
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from leafgraph.operators.progress import STEADY, THRESHOLD
+from leafgraph.operators.progress import projection
 
 
 def _runs(samples: DataFrame, step, output: str, state: str) -> DataFrame:
@@ -35,36 +34,14 @@ def running_progress(samples: DataFrame) -> DataFrame:
     return _runs(samples, step, "run long, progress double", "most double")
 
 
-class Estimate:
-    """The time-left estimate after a sequence of samples; all of it is its four numbers."""
-
-    def __init__(self, smoothed: float | None = None, updated: float | None = None, long: float | None = None, left: float | None = None):
-        self.smoothed, self.updated, self.long, self.left = smoothed, updated, long, left
-
-    def take(self, t: float, fraction: float, threshold: float = THRESHOLD) -> None:
-        if fraction <= 0.01 or t < 1:
-            return
-        done = min(fraction, 1.0)
-        estimate = t * (1 - done) / done
-        if done < 1 and self.smoothed is not None:
-            gap = max(0.0, t - self.updated)
-            counted = self.smoothed - gap
-            estimate = counted + (estimate - counted) * -math.expm1(-gap / 2)
-        self.smoothed, self.updated = estimate, t
-        self.long = (t if self.long is None else self.long) if t + estimate > threshold else None
-        if self.left is not None or self.long is not None and t - self.long >= STEADY:
-            self.left = max(0.0, estimate)
-
-
 def time_left(samples: DataFrame) -> DataFrame:
     """(run, left) for runs with new samples (run, t: seconds since the run's start, fraction); null while none is shown."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        estimate = Estimate(*state.get) if state.exists else Estimate()
-        rows = sorted((t, f) for frame in frames for t, f in zip(frame["t"], frame["fraction"]))
-        for t, fraction in rows:
-            estimate.take(t, fraction)
-        state.update((estimate.smoothed, estimate.updated, estimate.long, estimate.left))
-        yield pd.DataFrame({"run": pd.Series([key[0]], dtype="int64"), "left": pd.Series([estimate.left], dtype="float64")})
+        now = tuple(state.get) if state.exists else (None,) * 4
+        for t, fraction in sorted((t, f) for frame in frames for t, f in zip(frame["t"], frame["fraction"])):
+            now = projection(now, float(t), float(fraction))
+        state.update(now)
+        yield pd.DataFrame({"run": pd.Series([key[0]], dtype="int64"), "left": pd.Series([now[3]], dtype="float64")})
 
-    return _runs(samples, step, "run long, left double", "smoothed double, updated double, long double, left double")
+    return _runs(samples, step, "run long, left double", "end double, at double, since double, left double")

@@ -1,5 +1,8 @@
 """Operators on hand-made inputs."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,21 +113,49 @@ def test_mask_is_unknown_if_any_parent_is(spark):
     assert {r.m: r.dpi for r in placement.mask_dpi(uses, "m").collect()} == {1: 22.5, 2: -1.0, 3: -1.0}
 
 
-def estimate(spark, *samples):
-    rows = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(f)).alias("fraction")) for f, t in samples])
-    return one(spark, progress.time_left(rows))
-
-
-def test_time_left(spark):
-    assert estimate(spark, (0.3, 1), (0.9, 3)) is None
-    assert estimate(spark, (0.08, 2), (0.5, 3), (0.9, 5)) is None
-    long = [(0.1, 0.5), (0.1, 2), (0.2, 4), (0.5, 4.1), (0.9, 18), (0.95, 18.5), (1, 19)]
-    assert estimate(spark, *long[:2]) is None
-    assert estimate(spark, *long[:3]) == pytest.approx(16, abs=0.5)
-    assert estimate(spark, *long[:4]) > 14
-    assert estimate(spark, *long[:5]) == pytest.approx(2, abs=0.5)
-    assert estimate(spark, *long[:6]) is not None
-    assert estimate(spark, *long) == 0
+def by_weights(samples, threshold=10.0):
+    """The time left by its definition: at each sample the projected end is a weighted mean of t / fraction of all samples so
+    far, each as heavy as time has passed before it, at exponential decay."""
+    taken = [(t, min(f, 1.0)) for f, t in samples if f > 0.01 and t >= 1]
+    ends = []
+    for n, (t, f) in enumerate(taken):
+        weights = [1.0] + [1 - math.exp((a - b) / 2) for (a, _), (b, _) in zip(taken[:n], taken[1 : n + 1])]
+        decay = [math.prod(1 - w for w in weights[k + 1 :]) for k in range(n + 1)]
+        first = max([k for k in range(n + 1) if taken[k][1] == 1], default=0)  # a finished sample forgets what was before it
+        if first:
+            weights[first] = 1.0
+        ends.append(sum(weights[k] * decay[k] * taken[k][0] / taken[k][1] for k in range(first, n + 1)))
+    shown = False
+    for n, (t, _) in enumerate(taken):
+        back = n
+        while back >= 0 and ends[back] > threshold:
+            back -= 1
+        shown |= back < n and t - taken[back + 1][0] >= 2
+    return max(0.0, ends[-1] - taken[-1][0]) if shown else None
+
+
+def test_time_left_is_that_of_weighted_projections(spark):
+    rng = random.Random(8)
+    runs = []
+    for _ in range(60):
+        times = sorted(rng.uniform(0, rng.choice([6, 40])) for _ in range(rng.randrange(1, 12)))
+        shares = sorted(rng.choice([rng.random(), rng.random() ** 3, 1.0, 0.005]) for _ in times)
+        runs.append(list(zip(shares, times)))
+    want = [by_weights(r) for r in runs]
+    assert sum(w is None for w in want) > 5 and sum(w is not None for w in want) > 20
+    rows = spark.createDataFrame([(i, f, t) for i, r in enumerate(runs) for f, t in r], "run long, fraction double, t double")
+    for found in (progress.times_left(rows, "run"), rows.groupBy("run").agg(progress.time_left(F.sort_array(F.collect_list(F.struct("t", "fraction")))).alias("left"))):
+        got = {r.run: r.left for r in found.collect()}
+        assert all(got[i] == (None if w is None else pytest.approx(w, abs=1e-9)) for i, w in enumerate(want))
+
+
+def test_folds_stream_a_key_with_a_third_of_all_rows(spark):
+    rows = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("t"))
+    got = {r.k: r.n for r in progress.reported(rows, "k", "t", 30).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got[-1] == 3000 and len(got) == 501
+    ops = rows.select("k", "t", F.when(F.col("t") % 2 == 0, "q").otherwise("Q").alias("op"))
+    assert {(r.scale, r.depth) for r in placement.folded_scales(ops.where("k = -1"), "k", ["t"], "op").collect()} == {(1, 1)}
+    assert progress.reported(rows.limit(0), "k", "t", 30).count() == 0
 
 
 def test_throttle_counts_from_the_last_report(spark):
@@ -137,6 +168,9 @@ def test_names(spark):
     existing = spark.createDataFrame([("a",), ("a 3",), ("b 2",)], "name string")
     assert {r.k: r["name"] for r in naming.numbered(items, "base", "k", existing).collect()} == {1: "a 2", 2: "a 4", 3: "a 5", 4: "b"}
     assert one(spark, naming.natural_key(F.lit("f2")) < naming.natural_key(F.lit("F10")))
+    longer = ["9", "9" * 20, "1" + "0" * 20, "1" + "0" * 19 + "1", "2" + "0" * 20, "1" * 40]
+    keys = [one(spark, naming.natural_key(F.lit(f"f{n}.pdf"))) for n in longer]
+    assert [k for _, k in sorted(zip(map(int, longer), keys))] == sorted(keys) and len(set(keys)) == len(keys)
     assert one(spark, naming.common_prefix(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a"), F.lit("c")))) == ["a"]
 
 

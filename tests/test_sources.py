@@ -63,3 +63,12 @@ def test_discovery(spark, tmp_path):
     assert files.discovered(spark, ["/does/not/exist"]).count() == 0
     read = files.discovered(spark, [str(tmp_path)], content=True)
     assert documents.objects(read).where("kind = 'stream'").count() == 3
+
+
+def test_hidden_folders_above_the_given_one_hide_nothing(spark, tmp_path):
+    base = tmp_path / ".mnt" / "in"
+    for name in ("a.pdf", "b.PDF", ".c.pdf", ".d/e.pdf", "f/g.pdf", "h.txt"):
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(b"x")
+    got = files.discovered(spark, [str(base), str(base / "f"), str(base / "none")]).collect()
+    assert sorted((r.path.split("/in/")[1], r.arg) for r in got) == [("a.pdf", 0), ("b.PDF", 0), ("f/g.pdf", 0)]
