@@ -32,10 +32,12 @@ def local_session(app: str = "leafgraph", cores: str = "*", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is made.
+    Only where that setting is absent and all runs on this machine (tests, a laptop) a temporary folder of it is made.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(shared_dir, "_own", None)
         if named is None:
             path = tempfile.mkdtemp(prefix="leafgraph-")
