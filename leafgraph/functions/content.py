@@ -12,8 +12,8 @@ _TOKEN = re.compile(
     rb"|(?P<integer>[+-]?[0-9]+(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|$))|(?P<string>\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)|(?P<mark><<|>>|[\[\]{}])|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<other>.)",
     re.S,
 )
-#: Operands that are remembered, and nested forms that are followed.
-OPERANDS, FORMS = 64, 24
+#: Operands that are remembered.
+OPERANDS = 64
 
 
 def tokens(content: bytes) -> Iterator[tuple[str, bytes]]:
@@ -45,15 +45,10 @@ def product(m: tuple, n: tuple) -> tuple:
 ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def placements(content: bytes, kinds: dict[str, str], forms: dict[str, tuple[bytes, tuple, dict]], at: tuple = ONE, depth: int = 0) -> tuple[list[tuple[str, tuple]], set[str]]:
-    """(image, matrix) of each image drawn, and the images that are drawn in ways not followed.
-
-    ``kinds``: name to ``image`` or ``form``; ``forms``: name to its content, matrix and kinds. Forms within forms are
-    followed to a depth of FORMS; what deeper ones name is unknown.
-    """
-    found: list[tuple[str, tuple]] = []
-    unknown: set[str] = set()
-    stack: list[tuple] = []
+def draws(content: bytes) -> Iterator[tuple[str, tuple]]:
+    """(name, matrix) of each object that the content draws by its name, in order; the matrix is relative to the content's own
+    start. What is within drawn forms is theirs: :func:`leafgraph.operators.pages.resolutions` follows them by joins."""
+    at, stack = ONE, []
     for op, operands in operations(content):
         if op == "q":
             stack.append(at)
@@ -64,18 +59,7 @@ def placements(content: bytes, kinds: dict[str, str], forms: dict[str, tuple[byt
             if len(numbers) == 6:
                 at = product(tuple(numbers), at)
         elif op == "Do" and operands and isinstance(operands[-1], str):
-            name = operands[-1][1:]
-            if kinds.get(name) == "image":
-                found.append((name, at))
-            elif kinds.get(name) == "form" and name in forms:
-                inner, matrix, own = forms[name]
-                if depth >= FORMS:
-                    unknown |= {k for k, v in own.items() if v == "image"}
-                    continue
-                more, lost = placements(inner, own, forms, product(matrix, at), depth + 1)
-                found += more
-                unknown |= lost
-    return found, unknown
+            yield operands[-1][1:], at
 
 
 def dpi(width: int, height: int, matrix: tuple, unit: float = 1.0) -> float | None:
@@ -105,8 +89,8 @@ def gray_of(values: list[float]) -> float:
 
 
 def grayed(content: bytes, named: dict[bytes, str] | None = None) -> bytes:
-    """The content with device colours turned to gray; ``named``: kinds of colour spaces by name. What is not understood
-    stays as it is, byte by byte."""
+    """The content with device colours turned to gray; ``named``: kinds of colour spaces by name (``rgb``, ``cmyk``, and
+    ``pattern rgb`` for uncoloured patterns), whose resources become gray apart from this. What is not understood stays as it is, byte by byte."""
     spaces = SPACES | (named or {})
     state = {"fill": "gray", "stroke": "gray"}
     stack: list[dict] = []
@@ -134,18 +118,23 @@ def grayed(content: bytes, named: dict[bytes, str] | None = None) -> bytes:
             out.append(text)
         elif text in COLOR:
             parts, op = COLOR[text]
-            state[side] = "gray"
+            state[side] = "rgb" if parts == 3 else "cmyk"  # a later sc means this space still
             if plain and len(numbers) == parts:
                 replace(number(gray_of(numbers)) + b" " + op)
             else:
                 out.append(text)
+        elif text in (b"g", b"G"):
+            state[side] = "gray"
+            out.append(text)
         elif text in (b"cs", b"CS") and operands and operands[-1][0] == "name":
             space = spaces.get(operands[-1][1])
             state[side] = space or "other"
-            if space in ("rgb", "cmyk"):
+            if space in ("rgb", "cmyk") and operands[-1][1] in SPACES:
                 replace(b"/DeviceGray " + text)
             else:
                 out.append(text)
+        elif text in (b"scn", b"SCN") and state[side].startswith("pattern ") and operands and operands[-1][0] == "name" and len(numbers) == len(operands) - 1 == PARTS[state[side][8:]]:
+            replace(number(gray_of(numbers)) + b" " + operands[-1][1] + b" " + text)
         elif text in (b"sc", b"scn", b"SC", b"SCN") and plain and len(numbers) == PARTS.get(state[side]) and state[side] != "gray":
             replace(number(gray_of(numbers)) + b" " + text)
         else:

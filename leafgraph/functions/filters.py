@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import struct
 import zlib
 
@@ -102,6 +103,15 @@ def decoded(raw: bytes, filters: list[str], parms=None) -> tuple[bytes, list[str
     return raw, []
 
 
+def plain(raw: bytes | None, filters: list[str] | None, parms: str | None = None) -> bytes | None:
+    """The data of a stream whose filters can all be undone (``parms``: JSON), else None."""
+    try:
+        data, left = decoded(raw or b"", filters or [], json.loads(parms) if parms else None)
+    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error):
+        return None
+    return None if left else data
+
+
 def jpeg_header(data: bytes) -> dict | None:
     """width, height, parts, precision, progressive, and adobe (its colour transform, None without the marker)."""
     if data[:2] != b"\xff\xd8":

@@ -226,7 +226,7 @@ def written_value(value) -> str:
         return "/" + _escaped(value[1:]) if value.startswith("/") else "<" + value[2:].encode("latin-1").hex() + ">"
     if value is None or isinstance(value, bool):
         return {None: "null", True: "true", False: "false"}[value]
-    return str(value)
+    return f"{value:.10f}".rstrip("0").rstrip(".") if isinstance(value, float) else str(value)
 
 
 def _escaped(name: str) -> str:

@@ -57,13 +57,10 @@ def test_jpeg_headers():
 
 
 def test_placements_and_resolution():
-    kinds, forms = {"Im": "image", "Fm": "form"}, {"Fm": (b"0.5 0 0 0.5 0 0 cm /In Do", (2.0, 0, 0, 2.0, 0, 0), {"In": "image"})}
-    text = b"Q q 400 0 0 300 0 50 cm /Im Do Q 1 2 cm 10 0 0 10 0 0 cm /Fm Do /None Do % /Im Do\n(/Im Do) Tj"
-    found, unknown = content.placements(text, kinds, forms)
-    assert found == [("Im", (400, 0, 0, 300, 0, 50)), ("In", (10.0, 0, 0, 10.0, 0, 0))] and not unknown
+    text = b"Q q 400 0 0 300 0 50 cm /Im Do Q 1 2 cm 10 0 0 10 0 0 cm /Fm Do % /Im Do\n(/Im Do) Tj"
+    found = list(content.draws(text))
+    assert found == [("Im", (400, 0, 0, 300, 0, 50)), ("Fm", (10.0, 0, 0, 10.0, 0, 0))]
     assert content.dpi(800, 600, found[0][1]) == pytest.approx(144) and content.dpi(1, 1, (0,) * 6) is None
-    loop = {"L": (b"/L Do /X Do", content.ONE, {"L": "form", "X": "image"})}
-    assert content.placements(b"/L Do", {"L": "form"}, loop)[1] == {"X"}
 
 
 def test_gray_content():
