@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgraph.plans import batch, encodings, images, objects
+from leafgraph.plans import batch, encodings, images, objects, runs
 
-MODULES = (objects, images, batch, encodings)
+MODULES = (objects, images, batch, encodings, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
