@@ -39,7 +39,7 @@ def roots(found: DataFrame) -> DataFrame:
 def pages(found: DataFrame) -> DataFrame:
     """file_id, obj, ordinal (from 1), owner: the leaves of each page tree in their order; ``owner`` is the page itself or its nearest
     ancestor with resources, null without any. A page that the tree names twice counts once, at its first place; loops end."""
-    link = links(found).cache()
+    link = links(found)
     own = found.select("file_id", "obj", entry("Resources").isNotNull().alias("has"))
     kids = link.where(F.col("path").rlike("^/Kids/[0-9]+$")).select("file_id", "obj", "dst", F.substring("path", 7, 9).try_cast("int").alias("k"))
     top = link.where("path = '/Pages'").join(roots(found), ["file_id", "obj"], "left_semi").select("file_id", F.col("dst").alias("obj"))
